@@ -28,10 +28,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import documents, importable
-from ._text import blocks, utf8
+from ._pretoken import BEYOND, joined, pieces
+from ._text import BYTE_CODE, U, blocks, mix64, powers, utf8
 
 #: Words whose ids a task keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
 
 
 def byte_alphabet() -> list[str]:
@@ -50,19 +51,20 @@ class WordBPE:
             spec = json.load(f)
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
+        self.marks = len(self.end) > 0
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
         self.ranks = {(a, b): i for i, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])}
         self.words = regex.compile(next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"])
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.space = regex.compile(r"\s+")
         self.alphabet = byte_alphabet()
         self.of_byte = {c: b for b, c in enumerate(self.alphabet)}
-        self.longest = max(len(self._symbols(t)) for t in self.vocab)
+        self.longest = max(len(self._symbols(t)) for t in self.vocab) + 1
         self.size = max(self.names) + 1
-        self.good, self.bad = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.kept: dict[str, tuple[bytes, str]] = {}
+        self.pair_key, self.pair_fit = np.full(1 << 21, -1, np.int64), np.zeros(1 << 21, bool)
+        self.kept: dict[int, tuple[bytes, str]] = {}
+        self.tables = self._tables()
 
     # --- text to words
 
@@ -72,8 +74,7 @@ class WordBPE:
 
     def parts(self, text: str) -> Iterator[tuple[str, int]]:
         """(word, -1), or ("", id) of a special token."""
-        pieces = self.split.split(text) if self.split else [text]
-        for piece in pieces:
+        for piece in self.split.split(text) if self.split else [text]:
             if piece in self.special:
                 yield "", self.special[piece]
             else:
@@ -89,85 +90,154 @@ class WordBPE:
             chars[-1] += self.end
         return tuple(chars)
 
-    def symbols(self, word: str) -> tuple[str, ...]:
-        chars = [self.alphabet[b] for b in word.encode("utf-8")]
+    def _tables(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By length in symbols (the end mark counts as one): sorted hashes of the tokens, and their ids."""
+        by_length: dict[int, list[tuple[int, int]]] = {}
+        for token, i in self.vocab.items():
+            if self.merged(self._symbols(token)) != [token]:  # merging never gives this token
+                continue
+            marked = bool(self.end) and token.endswith(self.end) and token != self.end
+            raw = bytes(self.of_byte[c] for c in (token[: -len(self.end)] if marked else token)) + b"\xff" * marked
+            if b"\xff" in raw[: len(raw) - marked]:
+                continue
+            with np.errstate(over="ignore"):
+                h = np.sum(BYTE_CODE[np.frombuffer(raw, np.uint8)] * powers(len(raw))[0], dtype=U)
+            by_length.setdefault(len(raw), []).append((int(h), i))
+        out = {}
+        for length, pairs in by_length.items():
+            pairs.sort()
+            out[length] = np.array([p[0] for p in pairs], U), np.array([p[1] for p in pairs], np.int64)
+        return out
+
+    def symbols(self, word: bytes) -> tuple[str, ...]:
+        chars = [self.alphabet[b] for b in word]
         chars[-1] += self.end
         return tuple(chars)
 
     def merged(self, symbols: Iterable[str]) -> list[str]:
         """The exact merges: the lowest rank first, the leftmost of equal ones."""
-        out = list(symbols)
-        while len(out) > 1:
-            rank, at = min((self.ranks.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(out, out[1:], strict=False)))
-            if rank == 1 << 60:
-                break
-            out[at : at + 2] = [out[at] + out[at + 1]]
-        return out
-
-    def greedy(self, symbols: tuple[str, ...]) -> list[int]:
-        """Ids by longest match; only the word's last symbol has the end mark."""
-        out, i, n = [], 0, len(symbols)
-        while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
-                if (k := self.vocab.get("".join(symbols[i:j]))) is not None:
-                    out.append(k)
-                    i = j
-                    break
-            else:
-                raise ValueError(f"no token for {symbols[i]!r}")
+        out, get, never = list(symbols), self.ranks.get, 1 << 60
+        ranks = [get(p, never) for p in zip(out, out[1:], strict=False)]
+        while ranks and (low := min(ranks)) < never:
+            i = ranks.index(low)
+            out[i : i + 2] = [out[i] + out[i + 1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((out[i], out[i + 1]), never)
+            if i:
+                ranks[i - 1] = get((out[i - 1], out[i]), never)
         return out
 
     # --- many words
 
-    def _known(self, pairs: np.ndarray) -> np.ndarray:
-        """Whether each of the pairs (first * size + second) is what merging gives."""
-        def within(table):
-            at = np.searchsorted(table, pairs)
-            return (at < len(table)) & (table[np.minimum(at, max(len(table) - 1, 0))] == pairs) if len(table) else np.zeros(len(pairs), bool)
-
-        new = np.unique(pairs[~within(self.good) & ~within(self.bad)])
+    def _greedy(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Proposed ids of all words in a row, and the word of each: the longest match at each
+        place, for all words at once. The end mark counts as one more symbol after a word's bytes."""
+        n = np.array([len(w) for w in words], np.int64)
+        offsets = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(n + 1, out=offsets[1:])
+        buf = np.frombuffer(b"\xff".join(words) + b"\xff", np.uint8)  # no UTF-8 byte is 0xFF
+        up, down = powers(len(buf) + 1)
+        sums = np.zeros(len(buf) + 1, U)
+        with np.errstate(over="ignore"):
+            np.cumsum(BYTE_CODE[buf] * up[:-1], out=sums[1:])
+        at, stop = offsets[:-1].copy(), offsets[1:] if self.end else offsets[1:] - 1
+        live, ids, owner = np.arange(len(words)), [], []
+        while len(live):
+            pos, room = at[live], stop[live] - at[live]
+            found = np.full(len(live), -1, np.int64)
+            size = np.zeros(len(live), np.int64)
+            open_ = np.arange(len(live))
+            for length in range(min(self.longest, int(room.max())), 0, -1):
+                if (table := self.tables.get(length)) is None:
+                    continue
+                # the end mark is no symbol of its own: it can't be left over
+                pick = open_[(room[open_] >= length) & (room[open_] != length + 1)] if self.marks else open_[room[open_] >= length]
+                if not len(pick):
+                    continue
+                with np.errstate(over="ignore"):
+                    h = (sums[pos[pick] + length] - sums[pos[pick]]) * down[pos[pick]]
+                i = np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)
+                hit = table[0][i] == h
+                found[pick[hit]], size[pick[hit]] = table[1][i[hit]], length
+                open_ = open_[found[open_] < 0]
+            if len(open_):
+                raise ValueError("a byte has no token")
+            ids.append(found)
+            owner.append(live)
+            at[live] += size
+            live = live[at[live] < stop[live]]
+        ids, owner = np.concatenate(ids), np.concatenate(owner)
+        order = np.argsort(owner, kind="stable")
+        return ids[order], owner[order]
+
+    def _fits(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether merging gives each pair (first * size + second) as it stands. Answers are kept in
+        a table of fixed size, in which newer pairs take the places of older ones."""
+        with np.errstate(over="ignore"):
+            place = (mix64(pairs.astype(U)) & U(len(self.pair_key) - 1)).astype(np.int64)
+        new = np.unique(pairs[self.pair_key[place] != pairs])
+        fresh = np.zeros(len(new), bool)
+        for i, p in enumerate(new.tolist()):
+            two = [self.names[p // self.size], self.names[p % self.size]]
+            fresh[i] = self.merged([*self._symbols(two[0]), *self._symbols(two[1])]) == two
+        known = self.pair_key[place] == pairs
+        out = np.where(known, self.pair_fit[place], False)
         if len(new):
-            fit = np.array([self.merged([*self._symbols(self.names[p // self.size]), *self._symbols(self.names[p % self.size])]) == [self.names[p // self.size], self.names[p % self.size]] for p in new.tolist()])
-            self.good, self.bad = np.union1d(self.good, new[fit]), np.union1d(self.bad, new[~fit])
-        return within(self.good)
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word."""
-        spoken = [self.symbols(w) for w in words]
-        proposed = [self.greedy(s) for s in spoken]
-        lengths = np.array([len(p) for p in proposed], np.int64)
-        if not len(lengths):
+            out[~known] = fresh[np.searchsorted(new, pairs[~known])]
+            with np.errstate(over="ignore"):
+                place = (mix64(new.astype(U)) & U(len(self.pair_key) - 1)).astype(np.int64)
+            self.pair_key[place] = new
+            # two new pairs may share a place: the one that is there now decides
+            self.pair_fit[place] = fresh[np.searchsorted(new, self.pair_key[place])]
+        return out
+
+    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word (its UTF-8 bytes, not empty)."""
+        if not words:
             return []
-        flat = np.fromiter((t for p in proposed for t in p), np.int64, int(lengths.sum()))
-        owner = np.repeat(np.arange(len(words)), lengths)
+        flat, owner = self._greedy(words)
         inner = owner[1:] == owner[:-1]
-        fit = self._known((flat[:-1] * self.size + flat[1:])[inner])
+        fit = self._fits((flat[:-1] * self.size + flat[1:])[inner])
+        cut = np.searchsorted(owner, np.arange(len(words) + 1))
+        out = [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         for i in np.unique(owner[:-1][inner][~fit]).tolist():
-            proposed[i] = [self.vocab[t] for t in self.merged(spoken[i])]
-        return proposed
+            out[i] = np.array([self.vocab[t] for t in self.merged(self.symbols(words[i]))])
+        return out
 
-    def learn(self, words: set[str]) -> None:
-        """Put the words that aren't kept yet into kept: ids as bytes, and the decoded form."""
-        new = [w for w in words if w not in self.kept]
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept.clear()
-            new = list(words)
-        for w, ids in zip(new, self.encode_words(new), strict=True):
-            self.kept[w] = (np.array(ids, "<u4").tobytes(), " ".join(self.names[i] for i in ids))
+    def learn(self, new: dict[int, bytes]) -> None:
+        """Keep ids (as bytes) and decoded form of words by their hash."""
+        for (h, _), ids in zip(new.items(), self.encode_words(list(new.values())), strict=True):
+            self.kept[h] = (ids.astype("<u4").tobytes(), " ".join([self.names[i] for i in ids.tolist()]))
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """Ids, and their decoded text, of each text."""
-        split = [self.split is not None and any(s in t for s in self.special) for t in texts]
-        plain = [None if odd else self.words.findall(self.normalise(t)) for t, odd in zip(texts, split, strict=True)]
-        mixed = [list(self.parts(t)) if odd else None for t, odd in zip(texts, split, strict=True)]
-        self.learn({w for ws in plain if ws for w in ws} | {w for ps in mixed if ps for w, i in ps if i < 0})
-        kept, out = self.kept, []
-        for ws, ps in zip(plain, mixed, strict=True):
-            if ps is None:
-                found = [kept[w] for w in ws]
+        out: list = [None] * len(texts)
+        plain, clean = [], []
+        for i, t in enumerate(texts):
+            norm = self.normalise(t)
+            if BEYOND.search(norm) or any(s in t for s in self.special):
+                parts = list(self.parts(t))
+                found = iter(self.encode_words([w.encode("utf-8", "replace") for w, k in parts if k < 0]))
+                ids = [next(found) if k < 0 else np.array([k]) for _, k in parts]
+                flat = np.concatenate([np.zeros(0, np.int64), *ids])
+                out[i] = (flat.astype("<u4"), self.decode(flat))
             else:
-                found = [kept[w] if i < 0 else (np.array([i], "<u4").tobytes(), self.names[i]) for w, i in ps]
-            out.append((np.frombuffer(b"".join([x[0] for x in found]), "<u4"), " ".join([x[1] for x in found])))
+                plain.append(i)
+                clean.append(norm)
+        buf, begin, end, hashes, first = pieces(*joined(clean), blanks=False)
+        each, one, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.kept) + len(each) > KEPT_WORDS:
+            self.kept.clear()
+        each, kept = each.tolist(), self.kept
+        raw = buf.tobytes()
+        self.learn({h: raw[begin[k] : end[k]] for h, k in zip(each, one.tolist(), strict=True) if h not in kept})
+        rows = [kept[h] for h in each]
+        ids, said = [r[0] for r in rows], [r[1] for r in rows]
+        back = back.tolist()
+        for i, a, b in zip(plain, first[:-1].tolist(), first[1:].tolist(), strict=True):
+            own = back[a:b]
+            out[i] = (np.frombuffer(b"".join([ids[k] for k in own]), "<u4"), " ".join([said[k] for k in own]))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:

@@ -47,8 +47,8 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", carry:
 
     meta = materialise(rows.select(*cut), "meta")
     lengths = meta.groupBy("len").count().where("count > 1").select("len")
-    # prefix groups, only of lengths that occur more than once
-    heads = meta.join(lengths, "len", "left_semi").groupBy("len", "head").count().where("count > 1").select("len", "head", F.lit(True).alias("deep"))
+    # prefix groups, only of lengths that occur more than once; they are summed before they are joined
+    heads = meta.groupBy("len", "head").count().where("count > 1").join(lengths, "len", "left_semi").select("len", "head", F.lit(True).alias("deep"))
     heads = materialise(heads, "heads")
     if few_rows(heads, SENT_PAIRS):
         heads = F.broadcast(heads)
