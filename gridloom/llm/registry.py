@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, packing, sharding
+from . import bpe, exact_dedup, fingerprints, licenses, line_dedup, packing, sharding
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_sharding": sharding.op3_sharding,
+    "op4_license_scan": licenses.op4_license_scan,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_packing": packing.op6_packing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
