@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, licenses, line_dedup, packing, sharding
+from . import bpe, exact_dedup, fingerprints, licenses, line_dedup, packing, sharding, toxicity
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE = {
     "op7_line_dedup": line_dedup.ORACLE,
