@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, licenses, line_dedup, packing, sharding, toxicity
+from . import bpe, exact_dedup, fingerprints, licenses, line_dedup, ngram_join, packing, sharding, toxicity
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_bpe": bpe.op2_bpe,
     "op3_sharding": sharding.op3_sharding,
     "op4_license_scan": licenses.op4_license_scan,
