@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, licenses, line_dedup, ngram_join, packing, sharding, toxicity
+from . import bpe, exact_dedup, fingerprints, licenses, line_dedup, ngram_join, packing, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_packing": packing.op6_packing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
