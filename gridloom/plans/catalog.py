@@ -1,6 +1,8 @@
-"""All queries over the reference tables, with the SQL that checks them."""
+"""All queries over the driver's tables, with the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import q_core, q_grid, q_models  # noqa: F401  they register their queries
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
