@@ -1,23 +1,23 @@
 r"""N-gram Jaccard join: grouped prefix join over word shingles.
 
 Documents are sets of k-word shingles (64-bit hashes). Two sets of sizes n and m link when
-100 * intersection >= percent * union. In any order of all shingles, sets that link share one of the
-first n - ceil(percent * n / 100) + 1 of each (the prefix). The steps:
-
-1. Equal sets become one. Shingles are ordered light before heavy, then by hash; a shingle is heavy
-   if more than ``HEAVY`` sets hold it in their window (their first 2 * prefix + 8 by hash).
-2. Sets that have a whole prefix of light shingles in their window (almost all) are joined on it:
-   at most ``HEAVY`` meet at a shingle. Sets that don't (families of near copies, mainly) fetch all
-   their shingles; they meet the others on their light ones, and each other in a second order, by
-   the exact number of such sets that hold a shingle.
-3. Sets with identical prefix and size form groups, each looked at through one leader: in a few
+100 * intersection >= percent * union. In any order of the shingles, sets that link share one of the
+first n - ceil(percent * n / 100) + 1 of each (the prefix). This also holds for what they have in a
+fixed part of all shingles, as long as that part gives each set a whole prefix: sets of ``SMALL``
+shingles and more are joined on the shingles with hashes below a bound. The steps:
+
+1. Shingles are counted over all documents; rare ones come first in the order. A set whose prefix
+   is full of shingles that it alone has links with nothing: almost all sets end here. A bitmap of
+   fixed size, filled with the shared shingles, tells most of them in a scan; what is left is joined
+   with the exact counts.
+2. Sets with identical prefix and size form groups, each looked at through one leader: in a few
    rounds every set is verified against one leader that shares a prefix shingle, and joins its class.
-   This needs a row for each set, however large the family.
-4. Groups (same prefix, size and class) meet at their shared prefix shingles; pairs of other classes
+   This needs a row for each set, however large a family of near copies is.
+3. Groups (same prefix, size and class) meet at their shared prefix shingles; pairs of other classes
    and fitting sizes are expanded into members, and each pair is verified by its full sets.
 
 Links between sets of one class, which is connected already, are not looked for; nothing else is
-left out, so components are exact. All decisions on links use whole sets.
+left out, so components are exact. All decisions on links use whole sets; equal sets are one.
 
 Defined results: null and empty texts and texts without words have no shingles, are linked with
 nothing and form their own component; fewer than k words are one shingle; rows with a null key are
@@ -31,15 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import documents, few_rows, importable, materialise, release
 from ._graph import components
 from ._text import NOT_WHITE, U, blocks, mix64, shingles, utf8, word_hashes
 
-#: Sets that may hold a shingle in their window before it is put behind the others.
-HEAVY = 64
+#: Sets of this many shingles and more are joined on a part of all shingles.
+SMALL = 320
+#: Bits of the table of shared shingles: 8 MB, whatever the corpus; where it fills up, more rows are joined exactly.
+BITS = 1 << 26
 #: Rounds in which each set meets one leader.
 ROUNDS = 3
 #: Rows of (hash) that are sent to all tasks at most; more are joined by shuffling.
@@ -55,34 +57,68 @@ def prefix_column(n, percent: int):
     return (n - F.floor((n * percent + 99) / 100) + 1).cast("int")
 
 
-def sets_of(df: DataFrame, key: str, text: str, k: int, percent: int, full: bool) -> DataFrame:
-    """(key, n, sid, check, hashes): shingle sets by two 64-bit sums; hashes in order, unsigned: all, or the window."""
+def share_of(percent: int) -> float:
+    """The part of all shingles that larger sets are joined on: 2.5 prefixes of it."""
+    return min(1.0, 2.5 * (1 - percent / 100))
+
+
+def sets_of(df: DataFrame, key: str, text: str, k: int, percent: int, share: float | None) -> DataFrame:
+    """(key, n, sid, check, every, part): shingle sets by two 64-bit sums. every: all hashes, if share
+    is None or the set is small; part: those below the share, of sets that may meet larger ones."""
     importable(df.sparkSession)
     kind = dict(df.dtypes)[key]
+    bound = U(min((1 << 64) - 1, int((share or 1.0) * (1 << 64))))
+    small, least = SMALL, SMALL * percent // 100
+    flip = U(0x6A09E667F3BCC909)  # hashes of the two kinds of lists never meet
+
+    def lists(arrays):
+        cuts = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([np.zeros(0, U), *arrays]).view(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column(1))
             for i, j in blocks(at):
                 words, first = word_hashes(data, at[i : j + 1], NOT_WHITE)
-                sizes, ids, checks, out = [], [], [], []
+                sizes, ids, checks, every, part = [], [], [], [], []
                 with np.errstate(over="ignore"):
                     for s in shingles(words, first, k):
                         n = len(s)
                         sizes.append(n)
                         ids.append(mix64(np.sum(mix64(s), dtype=U, keepdims=True))[0])
                         checks.append(np.sum(mix64(s ^ U(0x5851F42D4C957F2D)), dtype=U))
-                        out.append((s if full else s[: 2 * prefix_of(n, percent) + 8]).view(np.int64))
-                cuts = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([np.zeros(0, np.int64), *out])))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(np.array(ids, U).view(np.int64)), pa.array(np.array(checks, U).view(np.int64)), lists], names=["key", "n", "sid", "check", "hashes"])
+                        every.append(s if share is None or n < small else s[:0])
+                        part.append(s[: np.searchsorted(s, bound)] ^ flip if share is not None and n >= least else s[:0])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(np.array(ids, U).view(np.int64)), pa.array(np.array(checks, U).view(np.int64)), lists(every), lists(part)], names=["key", "n", "sid", "check", "every", "part"])
 
-    return df.select(f"`{key}`", f"`{text}`").mapInArrow(run, f"key {kind}, n bigint, sid bigint, check bigint, hashes array<bigint>")
+    return df.select(f"`{key}`", f"`{text}`").mapInArrow(run, f"key {kind}, n bigint, sid bigint, check bigint, every array<bigint>, part array<bigint>")
 
 
-def unsigned(h):
-    """A column that sorts as the unsigned value of h does."""
-    return h.bitwiseXOR(F.lit(-(1 << 63)))
+def suspects(rows: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """(sid, n, size, h): hashes that may be shared, of lists (size hashes) that may lack a prefix of
+    hashes of their own. shared: (h)."""
+    slot = F.col("h").bitwiseAND(F.lit(BITS - 1))
+    words = shared.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
+    table = np.zeros(BITS // 64, U)  # BITS / 64 rows at most reach the driver
+    for r in words.collect():
+        table[r.w] = U(r.b & ((1 << 64) - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sid, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for k in (2, 3):
+                column = batch.column(k)
+                h = column.flatten().to_numpy(zero_copy_only=False)
+                size = np.diff(column.offsets.to_numpy())
+                row = np.repeat(np.arange(len(size)), size)
+                place = (h & (BITS - 1)).astype(np.int64)
+                hit = (table[place >> 6] >> (place & 63).astype(U)) & U(1) > 0
+                own = size - np.bincount(row[hit], minlength=len(size))
+                keep = hit & (own < prefix_of(n, percent))[row]
+                row = row[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(sid[row]), pa.array(n[row]), pa.array(size[row].astype(np.int64)), pa.array(h[keep])], names=["sid", "n", "size", "h"])
+
+    return rows.where("n > 0 AND key IS NOT NULL").select("sid", "n", "every", "part").mapInArrow(run, "sid bigint, n bigint, size bigint, h bigint")
 
 
 def sent(df: DataFrame) -> DataFrame:
@@ -94,47 +130,33 @@ def linked(common, n, m, percent: int):
     return common * (100 + percent) >= (n + m) * percent
 
 
-def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, heavy: int = HEAVY, rounds: int = ROUNDS) -> DataFrame:
+def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
     """(key, n_shingles, component) for each row of df; component: the least key reachable."""
     p = lambda: prefix_column(F.col("n"), percent)
-    rows = materialise(sets_of(df, key, text, k, percent, full=False), "rows")
-    sets = materialise(rows.where("n > 0 AND key IS NOT NULL").groupBy("sid", "check", "n", "hashes").agg(F.min("key").alias("least")), "sets")
-
-    # 1. heavy shingles
-    window = sets.select("sid", F.explode("hashes").alias("h"))
-    often = materialise(window.groupBy("h").count().where(F.col("count") > heavy).select("h"), "heavy")
-    often_sent = sent(often)
-    mine = window.join(often_sent, "h").groupBy("sid").agg(F.collect_list("h").alias("behind"))
-    split = sets.join(mine, "sid", "left").select("sid", "n", F.when(F.col("behind").isNull(), F.col("hashes")).otherwise(F.array_except("hashes", "behind")).alias("light"))
-    split = materialise(split.select("sid", "n", F.slice("light", 1, p()).alias("light"), (F.size("light") < p()).alias("deep")), "split")
-
-    # 2. where sets meet: (space, h, sid, n, live), live: shared prefix shingles of the set
-    plain = split.where("NOT deep").select("sid", "n", F.explode("light").alias("h"))
-    plain_meet = plain.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("c > 1").select(F.lit(1).alias("space"), "h", "sid", "n")
-    deep = materialise(split.where("deep").select("sid"), "deep")
-    meets = [materialise(plain_meet, "meet")]
-    if not few_rows(deep, 0):
-        whole = _whole_sets(df, key, text, k, percent, sets.join(deep, "sid", "left_semi"))
-        every = whole.select("sid", "n", F.explode("hashes").alias("h"))
-        # with the others, in the first order: a prefix of light shingles meets theirs
-        light = every.join(often_sent, "h", "left_anti")
-        place = F.row_number().over(Window.partitionBy("sid").orderBy(unsigned(F.col("h"))))
-        light = light.withColumn("place", place).where(F.col("place") <= p()).select("sid", "n", "h")
-        with_plain = materialise(light.join(plain.select("h").distinct(), "h", "left_semi"), "meet")
-        back = plain.join(with_plain.select("h").distinct(), "h", "left_semi").select("sid", "n", "h")
-        meets.append(materialise(with_plain.unionByName(back).select(F.lit(1).alias("space"), "h", "sid", "n"), "meet"))
-        # among themselves, in the order of their own counts; shingles of one set alone come first and meet nothing
-        count = every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        own = every.join(count, "h").groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("own"))
-        own = own.select("sid", "n", F.slice("own", 1, F.greatest(F.lit(0), p() - (F.col("n") - F.size("own")).cast("int"))).alias("own"))
-        meets.append(materialise(own.select(F.lit(2).alias("space"), F.explode("own.h").alias("h"), "sid", "n"), "meet"))
-        release(whole)
-    meet = meets[0]
-    for m in meets[1:]:
-        meet = meet.unionByName(m)
-    meet = materialise(meet.distinct(), "meet")
-
-    # 3. classes by leaders
+    share = share or share_of(percent)
+    rows = materialise(sets_of(df, key, text, k, percent, share), "rows")
+    if share < 1 and not few_rows(rows.where((F.col("n") >= SMALL) & (F.size("part") < p())), 0):
+        release(rows)
+        return join(df, key, text, k, percent, rounds, 1.0)  # a set without a whole prefix in the part: take all
+    named = rows.where("n > 0 AND key IS NOT NULL")
+    sets = materialise(named.groupBy("sid", "check", "n").agg(F.min("key").alias("least")), "sets")
+
+    # 1. counts of shingles, and prefixes in their order
+    lists = named.select(F.explode(F.concat("every", "part")).alias("h"))
+    count = materialise(lists.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "count")
+    some = materialise(suspects(rows, count, percent), "some")
+    own = some.distinct().join(count, "h").groupBy("sid", "n", "size").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("own"))
+    # shingles of a set alone come first and meet nothing
+    meet = own.select("sid", "n", F.explode(F.slice("own", 1, F.greatest(F.lit(0), p() - (F.col("size") - F.size("own")).cast("int")))["h"]).alias("h"))
+    meet = materialise(meet, "meet")
+    both = meet.groupBy("h").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("h")
+    meet = materialise(meet.join(both, "h", "left_semi").select(F.lit(1).alias("space"), "h", "sid", "n").distinct(), "meet")
+    rows_named = materialise(rows.select("key", "n", "sid", "check"), "named")
+    for x in (rows, count, some):
+        release(x)
+    rows = rows_named
+
+    # 2. classes by leaders
     able = meet.groupBy("sid", "n").agg(F.count(F.lit(1)).alias("live"))
     whole = _whole_sets(df, key, text, k, percent, sets.join(able.select("sid"), "sid", "left_semi"))
     classes = materialise(able.select("sid", "n", "live", F.col("sid").alias("cls")), "classes")
@@ -154,7 +176,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, per
         if few_rows(found, 0):
             break
 
-    # 4. groups of one prefix, size and class; pairs of groups of other classes; their members
+    # 3. groups of one prefix, size and class; pairs of groups of other classes; their members
     member = meet.join(classes.select("sid", "cls"), "sid")
     group = member.groupBy("sid", "n", "cls").agg(F.sort_array(F.collect_list(F.struct("space", "h"))).alias("prefix"))
     group = materialise(group.select("sid", "n", "cls", F.xxhash64("n", "cls", "prefix").alias("gid")), "groups")
@@ -182,7 +204,7 @@ def _whole_sets(df: DataFrame, key: str, text: str, k: int, percent: int, wanted
     """(sid, n, hashes) of the wanted sets, from the texts of one row each."""
     keys = materialise(wanted.select(F.col("least").alias("_gl_key"), F.col("sid").alias("w")), "wanted")
     texts = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(sent(keys.select(F.col("_gl_key").alias("key")).distinct()), "key", "left_semi")
-    found = sets_of(texts, "key", "text", k, percent, full=True)
+    found = sets_of(texts, "key", "text", k, percent, None).withColumnRenamed("every", "hashes")
     # a repeated key may bring other texts, and repeated rows the same set again
     found = found.join(keys, (found["key"] == keys["_gl_key"]) & (found["sid"] == keys["w"]), "left_semi").select("sid", "n", "hashes")
     return materialise(found, "whole") if few_rows(df.groupBy(f"`{key}`").count().where("count > 1"), 0) else materialise(found.dropDuplicates(["sid"]), "whole")

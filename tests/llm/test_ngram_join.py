@@ -59,11 +59,12 @@ def corpus(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed,k,percent,heavy", [(1, 3, 90, 64), (2, 3, 90, 4), (3, 5, 80, 8)])
-def test_join_is_exact(spark, seed, k, percent, heavy):
+@pytest.mark.parametrize("seed,k,percent,small", [(1, 3, 90, 320), (2, 3, 90, 60), (3, 5, 80, 40), (4, 3, 90, 1)])
+def test_join_is_exact(spark, monkeypatch, seed, k, percent, small):
+    monkeypatch.setattr(ngram_join, "SMALL", small)
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash")).withColumn("sid", F.lit(1))
-    got = {r.key: (r.n_shingles, r.component) for r in ngram_join.join(df, k=k, percent=percent, heavy=heavy).collect()}
+    got = {r.key: (r.n_shingles, r.component) for r in ngram_join.join(df, k=k, percent=percent).collect()}
     assert got == brute(rows, k, percent)
 
 
