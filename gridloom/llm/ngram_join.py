@@ -100,8 +100,9 @@ def suspects(rows: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     slot = F.col("h").bitwiseAND(F.lit(BITS - 1))
     words = shared.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
     table = np.zeros(BITS // 64, U)  # BITS / 64 rows at most reach the driver
-    for r in words.collect():
-        table[r.w] = U(r.b & ((1 << 64) - 1))
+    found = words.toArrow()
+    table[found["w"].to_numpy().astype(np.int64)] = found["b"].to_numpy().view(U)
+    del found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
