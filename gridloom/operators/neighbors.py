@@ -38,6 +38,8 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, skip_self: bool = True) -
 
 
 def _pass(block: list, base: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    if not block:
+        return base.sparkSession.createDataFrame([], "query bigint, id bigint, distance double")
     names = np.array([r.id for r in block], np.int64)
     q = np.array([r.x for r in block], np.float64).reshape(len(block), -1)
 
@@ -58,8 +60,6 @@ def _pass(block: list, base: DataFrame, k: int, skip_self: bool) -> DataFrame:
         ok = np.isfinite(best_d)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best_d.shape[1])[ok.ravel()]), pa.array(best_i[ok]), pa.array(best_d[ok])], names=["query", "id", "distance"])
 
-    if not len(block):
-        return base.sparkSession.createDataFrame([], "query bigint, id bigint, distance double")
     return base.select(F.col("id").cast("bigint").alias("id"), F.col("x").cast("array<double>").alias("x")).mapInArrow(run, "query bigint, id bigint, distance double")
 
 
