@@ -118,9 +118,10 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> Iterator[np.ndarra
     sequence is one, without words there is none."""
     with np.errstate(over="ignore"):
         n = len(words)
-        rolled = np.full(max(n - k + 1, 0), U(k))
+        m = max(n - k + 1, 0)
+        rolled = np.full(m, U(k))
         for i in range(k):
-            rolled = mix64(rolled * U(0x9E3779B97F4A7C15) + words[i : n - k + 1 + i])
+            rolled = mix64(rolled * U(0x9E3779B97F4A7C15) + words[i : i + m])
         for a, b in zip(first[:-1], first[1:], strict=True):
             if b - a >= k:
                 yield np.unique(rolled[a : b - k + 1])
