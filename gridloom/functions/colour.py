@@ -51,3 +51,28 @@ def affine(x: Column, y: Column, a: tuple[float, float, float, float], t: tuple[
 def thin_plate(d2: Column) -> Column:
     """The basis r^2 ln r^2 of a squared distance; 0 at 0."""
     return F.when(d2 > 0, d2 * F.ln(F.greatest(d2, F.lit(1e-300)))).otherwise(0.0)
+
+
+def rgb_of_xyz(x: Column, y: Column, z: Column) -> list[Column]:
+    """The inverse of :func:`xyz`."""
+    import numpy as np
+
+    return [x * float(a) + y * float(b) + z * float(c) for a, b, c in np.linalg.inv(np.array(RGB_TO_XYZ))]
+
+
+def luv(x: Column, y: Column, z: Column) -> list[Column]:
+    """CIE L*u*v* of XYZ; 0 where there is no light."""
+    total = F.nullif(x + 15 * y + 3 * z, F.lit(0.0))
+    white = WHITE[0] + 15 * WHITE[1] + 3 * WHITE[2]
+    light = F.when(y > (6 / 29) ** 3, 116 * F.cbrt(y) - 16).otherwise(y * (29 / 3) ** 3)
+    u = 13 * light * (4 * x / total - 4 * WHITE[0] / white)
+    v = 13 * light * (9 * y / total - 9 * WHITE[1] / white)
+    return [light, F.coalesce(u, F.lit(0.0)), F.coalesce(v, F.lit(0.0))]
+
+
+def axis_angle(m: list[list[Column]]) -> list[Column]:
+    """The vector whose :func:`rotation` is m, for angles below pi."""
+    cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (m[0][0] + m[1][1] + m[2][2] - 1) / 2))
+    t = F.acos(cos)
+    k = F.when(F.abs(F.sin(t)) < 1e-12, 0.5).otherwise(t / (2 * F.nullif(F.sin(t), F.lit(0.0))))
+    return [k * (m[2][1] - m[1][2]), k * (m[0][2] - m[2][0]), k * (m[1][0] - m[0][1])]
