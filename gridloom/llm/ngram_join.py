@@ -148,12 +148,13 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, per
     count = materialise(lists.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "count")
     some = materialise(suspects(rows, count, percent), "some")
     own = some.distinct().join(count, "h").groupBy("sid", "n", "size").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("own"))
-    # shingles of a set alone come first and meet nothing; pos is the place in the set's order, from 1
+    # shingles of a set alone come first and meet nothing; pos is the place in the set's order, from 1,
+    # and prev the shared shingle before
     alone = (F.col("size") - F.size("own")).cast("int")
-    meet = own.select("sid", "n", alone.alias("alone"), F.posexplode(F.slice("own", 1, F.greatest(F.lit(0), p() - alone))["h"]).alias("i", "h"))
-    meet = materialise(meet.select("sid", "n", "h", (F.col("alone") + F.col("i") + 1).alias("pos")), "meet")
+    meet = own.select("sid", "n", alone.alias("alone"), F.col("own")["h"].alias("list"), F.posexplode(F.slice("own", 1, F.greatest(F.lit(0), p() - alone))["h"]).alias("i", "h"))
+    meet = materialise(meet.select("sid", "n", "h", (F.col("alone") + F.col("i") + 1).alias("pos"), F.get("list", F.col("i") - 1).alias("prev")), "meet")
     both = meet.groupBy("h").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("h")
-    meet = materialise(meet.join(both, "h", "left_semi").select(F.lit(1).alias("space"), "h", "sid", "n", "pos").distinct(), "meet")
+    meet = materialise(meet.join(both, "h", "left_semi").select(F.lit(1).alias("space"), "h", "sid", "n", "pos", "prev").distinct(), "meet")
     rows_named = materialise(rows.select("key", "n", "sid", "check"), "named")
     for x in (rows, count, some):
         release(x)
@@ -183,12 +184,14 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, per
     member = meet.join(classes.select("sid", "cls"), "sid")
     group = member.groupBy("sid", "n", "cls").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("prefix"))
     group = materialise(group.select("sid", "n", "cls", F.xxhash64("n", "cls", "prefix").alias("gid")), "groups")
-    keyed = member.join(group.select("sid", "gid"), "sid").select("space", "h", "gid", "n", "cls", "pos").distinct()
-    other = keyed.select("space", "h", *(F.col(c).alias(f"{c}2") for c in ("gid", "n", "cls", "pos")))
+    keyed = member.join(group.select("sid", "gid"), "sid").select("space", "h", "gid", "n", "cls", "pos", "prev").distinct()
+    other = keyed.select("space", "h", *(F.col(c).alias(f"{c}2") for c in ("gid", "n", "cls", "pos", "prev")))
     near = (F.col("gid") < F.col("gid2")) & (F.col("cls") != F.col("cls2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
     # least intersection of sets that link; what stands before their first common shingle is missing from the other
     least = F.ceil((F.col("n") + F.col("n2")) * percent / (100.0 + percent) - 1e-9)
     near = near & (F.col("pos") <= F.col("n") - least + 1) & (F.col("pos2") <= F.col("n2") - least + 1) & (F.col("pos") + F.col("pos2") - 2 <= F.col("n") + F.col("n2") - 2 * least)
+    # sets that share the shingle before this one, too, have met there
+    near = near & ~F.coalesce(F.col("prev") == F.col("prev2"), F.lit(False))
     pairs = keyed.join(other, ["space", "h"]).where(near).select("gid", "gid2").distinct()
     left, right = group.select("gid", F.col("sid").alias("a")), group.select(F.col("gid").alias("gid2"), F.col("sid").alias("b"))
     found = materialise(_verified(pairs.join(left, "gid").join(right, "gid2").select("a", "b"), whole, percent), "found")
