@@ -112,6 +112,9 @@ def components_of(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
         low = label.join(near, F.col("node") == F.col("a")).select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
+        # all nodes of a root go to the least root next to any of them, so that long chains take few rounds
+        hook = low.groupBy("was").agg(F.min("root").alias("root"))
+        low = cut_lineage(low.select("node", "was").join(hook, "was"))
         up = low.select(F.col("node").alias("root"), F.col("root").alias("top"))
         new = cut_lineage(low.join(up, "root").select("node", "was", F.least("root", "top").alias("root")))
         moved = new.where("root < was").limit(1).count()
