@@ -7,7 +7,8 @@ library's bounded-error matching verifies the edits there and tells the span.
 
 Texts are searched as their words (A-Z lower-cased, ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``) joined by
 one blank; matches begin and end with words. Besides, ``PHRASES`` are found where their words stand
-consecutively. One scan, no shuffle.
+consecutively; those of 10 characters and more are notices as well ("cc by nc" has no errors to
+spare, as one makes "cc by nd" of it). One scan, no shuffle.
 
 Defined results: null and empty texts have no words and no matches; very long texts are searched
 whole; repeated rows each give their rows; an empty table gives none; other columns are ignored.
@@ -15,8 +16,10 @@ whole; repeated rows each give their rows; an empty table gives none; other colu
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,8 @@ NOTICES = (
     ("this program is free software you can redistribute it and or modify", "gpl"),
     ("redistribution and use in source and binary forms with or without modification", "bsd"),
     ("subject to the terms of the mozilla public license", "mpl"),
+    ("under the mit license", "mit"),
+    ("apache license version 2", "apache-2"),
 )
 #: Errors allowed for each so many characters of a notice.
 CHARS_PER_ERROR = 10
@@ -61,6 +66,7 @@ class Match:
     n_words: int
     errors: int
     likeness: float
+    bare: bool = False
 
 
 class Notice:
@@ -69,6 +75,7 @@ class Notice:
     def __init__(self, words: str, label: str, per_error: int = CHARS_PER_ERROR):
         self.words, self.label, raw = words, label, words.encode()
         self.errors = len(raw) // per_error
+        self.bare = words in PHRASES
         edges = np.linspace(0, len(raw), self.errors + 2).astype(int).tolist()
         self.size = len(raw)
         self.parts = [(a, raw[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -113,10 +120,29 @@ class Scanner:
                 at = text.find(phrase, at + 1)
         for n in self.notices:
             for a, b, errors in n.search(text):
-                out.append(Match(n.label, False, text.count(b" ", 0, a) - 1, text.count(b" ", a, b) + 1, errors, 1.0 - errors / n.size))
+                out.append(Match(n.label, False, text.count(b" ", 0, a) - 1, text.count(b" ", a, b) + 1, errors, 1.0 - errors / n.size, n.bare))
         return out
 
 
+def longest(matches: list[Match]) -> list[Match]:
+    """matches without those of bare phrases inside another match of their label."""
+    wide: dict[str, list[tuple[int, int]]] = {}
+    for m in matches:
+        if m.base or not m.bare:
+            wide.setdefault(m.label, []).append((m.first_word, m.first_word + m.n_words))
+    reach = {}
+    for label, spans in wide.items():
+        spans.sort()
+        reach[label] = [s[0] for s in spans], list(accumulate((s[1] for s in spans), max))
+    out = []
+    for m in matches:
+        begin, end = reach.get(m.label, ([], []))
+        i = bisect_right(begin, m.first_word)
+        if m.base or not m.bare or not i or end[i - 1] < m.first_word + m.n_words:
+            out.append(m)
+    return out
+
+
 def _scan_rows(df: DataFrame, key: str, text: str, make, schema: str) -> DataFrame:
     importable(df.sparkSession)
     kind = dict(df.dtypes)[key]
@@ -142,13 +168,14 @@ _WORD = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 def find_notices(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each match: key, label, base, first_word, n_words, errors, likeness, and the span
-    (begin, end) in code points of the text."""
+    (begin, end) in code points of the text. A bare phrase isn't told again inside another match
+    of its label."""
 
     def make(rows):
         index, out = [], []
         for i, (_, matches, raw) in enumerate(rows):
             spans = [m.span() for m in _WORD.finditer(raw.decode("utf-8", "replace"))] if matches else []
-            for m in matches:
+            for m in longest(matches):
                 index.append(i)
                 out.append((m, spans[m.first_word][0], spans[m.first_word + m.n_words - 1][1]))
         return index, [pa.array([x[0].label for x in out], pa.string()), pa.array([x[0].base for x in out], pa.bool_()), *(pa.array([getattr(x[0], f) for x in out], pa.int64()) for f in ("first_word", "n_words", "errors")), pa.array([x[0].likeness for x in out], pa.float64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())]

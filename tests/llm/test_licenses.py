@@ -87,3 +87,11 @@ def test_long_and_repeated(spark):
     text = "word " * 60_000 + "under the mit license " * 3
     rows = licenses.label_documents(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")).collect()
     assert [(r.n_words, r.n_base, r.first_word, r.last_word) for r in rows] == [(60_012, 3, 60_000, 60_008)] * 2
+
+
+def test_bare_phrases_with_errors(spark):
+    rows = [(1, "available under the mit licence"), (2, "distributed under the mit lisence"), (3, "provided under the apache licence version 2 0"), (4, "some rights: CC BY-ND 4.0"), (5, "CC BY-NC 4.0")]
+    got = {r.key: r for r in licenses.label_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(1, 6)] == ["mit", "mit", "apache-2", "", "cc-by-nc"]
+    assert [got[i].base_labels for i in range(1, 6)] == ["", "", "", "", "cc-by-nc"]
+    assert got[1].score == pytest.approx(1 - 1 / 21) and got[4].score == 0
