@@ -19,6 +19,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 from itertools import accumulate
 
 import numpy as np
@@ -81,28 +82,41 @@ class Notice:
         self.parts = [(a, raw[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         self.pattern = regex.compile(rb"(?b)(?<= )(?:" + regex.escape(words).replace("\\ ", " ").encode() + b"){e<=%d}(?= )" % self.errors)
 
-    def windows(self, text: bytes) -> list[tuple[int, int]]:
-        """Ranges of text around exact parts, joined where they overlap."""
-        reach, found = self.errors + 1, []
+    def windows(self, text: bytes) -> set[tuple[int, int]]:
+        """Ranges of text around exact parts; each match lies in that of a part it holds."""
+        reach, found = self.errors + 1, set()
         for offset, part in self.parts:
             at = text.find(part)
             while at >= 0:
-                found.append((max(0, at - offset - reach), at - offset + self.size + reach))
+                found.add((max(0, at - offset - reach), min(len(text), at - offset + self.size + reach)))
                 at = text.find(part, at + 1)
-        out: list[tuple[int, int]] = []
-        for a, b in sorted(found):
-            if out and a <= out[-1][1]:
-                out[-1] = (out[-1][0], max(b, out[-1][1]))
-            else:
-                out.append((a, b))
-        return out
-
-    def search(self, text: bytes) -> Iterator[tuple[int, int, int]]:
-        """(begin, end, errors) of the matches in text, which is as words_of() gives it."""
-        for a, b in self.windows(text):
-            for m in self.pattern.finditer(text, a, b):
-                if text[m.start() : m.start() + 1] != b" " and m.end() > m.start():
-                    yield m.start(), m.end(), sum(m.fuzzy_counts)
+        return found
+
+    def best(self, text: bytes, a: int, b: int) -> Iterator[tuple[int, int, int, int, int]]:
+        """(errors, begin, end, a, b) of the best match in text[a:b], if there is one."""
+        m = self.pattern.search(text, a, b) if b - a >= self.size - self.errors else None
+        if m:
+            yield sum(m.fuzzy_counts), m.start(), m.end(), a, b
+
+    def search(self, text: bytes) -> list[tuple[int, int, int]]:
+        """(begin, end, errors) of the matches in text, which is as words_of() gives it. Of matches
+        that overlap the one with fewer errors counts, then the earlier one."""
+        heap = [x for a, b in self.windows(text) for x in self.best(text, a, b)]
+        heapify(heap)
+        taken: list[tuple[int, int, int]] = []
+        while heap:
+            errors, begin, end, a, b = heappop(heap)
+            i = bisect_right(taken, (begin, len(text), 0))
+            over = [t for t in taken[max(0, i - 1) : i + 1] if t[0] < end and t[1] > begin]
+            if not over:
+                taken.insert(i, (begin, end, errors))
+                over = [(begin, end, errors)]
+            # what is left of the window beside them may hold others
+            edges = [a, *(e for t in over for e in t[:2]), b]
+            for lo, hi in zip(edges[::2], edges[1::2], strict=True):
+                for x in self.best(text, lo, hi):
+                    heappush(heap, x)
+        return taken
 
 
 class Scanner:

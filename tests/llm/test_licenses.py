@@ -95,3 +95,14 @@ def test_bare_phrases_with_errors(spark):
     assert [got[i].labels for i in range(1, 6)] == ["mit", "mit", "apache-2", "", "cc-by-nc"]
     assert [got[i].base_labels for i in range(1, 6)] == ["", "", "", "", "cc-by-nc"]
     assert got[1].score == pytest.approx(1 - 1 / 21) and got[4].score == 0
+
+
+def test_repeated_notices_keep_their_spans(spark):
+    bad, good, worse = "released under the mit licence", "released under the mit license", "relesed under the mit licence"
+    texts = [f"{bad} {good}", f"{bad} {good} {worse}", " ".join([worse, bad] * 40), f"{good} x {good}"]
+    rows = licenses.find_notices(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = [sorted((r.begin, r.errors) for r in rows if r.key == i and not r.base and r.n_words == 5) for i in range(4)]
+    step = len(worse) + 1 + len(bad) + 1
+    assert got[0] == [(0, 1), (31, 0)] and got[1] == [(0, 1), (31, 0), (62, 2)]
+    assert got[2] == sorted([(i * step, 2) for i in range(40)] + [(i * step + len(worse) + 1, 1) for i in range(40)])
+    assert got[3] == [(0, 0), (33, 0)]
