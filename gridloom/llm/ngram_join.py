@@ -22,8 +22,9 @@ left out, so components are exact. All decisions on links use whole sets; equal
 
 Defined results: null and empty texts and texts without words have no shingles, are linked with
 nothing and form their own component; fewer than k words are one shingle; rows with a null key are
-not linked and have a null component; repeated keys share a component; an empty table gives no
-rows; other columns are ignored.
+not linked and have a null component; a repeated key has the component of each row's own text, and
+:func:`drop_near_copies` removes its rows by themselves; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ._common import documents, few_rows, importable, materialise, release
 from ._graph import components
@@ -63,6 +65,11 @@ def share_of(percent: int) -> float:
     return min(1.0, 2.5 * (1 - percent / 100))
 
 
+def name_of(s: np.ndarray) -> tuple[U, U]:
+    """sid and check of a set of hashes."""
+    return mix64(np.sum(mix64(s), dtype=U, keepdims=True))[0], np.sum(mix64(s ^ U(0x5851F42D4C957F2D)), dtype=U)
+
+
 def sets_of(df: DataFrame, key: str, text: str, k: int, percent: int, share: float | None) -> DataFrame:
     """(key, n, sid, check, every, part): shingle sets by two 64-bit sums. every: all hashes, if share
     is None or the set is small; part: those below the share, of sets that may meet larger ones."""
@@ -86,8 +93,9 @@ def sets_of(df: DataFrame, key: str, text: str, k: int, percent: int, share: flo
                     for s in shingles(words, first, k):
                         n = len(s)
                         sizes.append(n)
-                        ids.append(mix64(np.sum(mix64(s), dtype=U, keepdims=True))[0])
-                        checks.append(np.sum(mix64(s ^ U(0x5851F42D4C957F2D)), dtype=U))
+                        a, b = name_of(s)
+                        ids.append(a)
+                        checks.append(b)
                         every.append(s if share is None or n < small else s[:0])
                         part.append(s[: np.searchsorted(s, bound)] ^ flip if share is not None and n >= least else s[:0])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(np.array(ids, U).view(np.int64)), pa.array(np.array(checks, U).view(np.int64)), lists(every), lists(part)], names=["key", "n", "sid", "check", "every", "part"])
@@ -134,12 +142,17 @@ def linked(common, n, m, percent: int):
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
     """(key, n_shingles, component) for each row of df; component: the least key reachable."""
+    return _placed(df, key, text, k, percent, rounds, share).select("key", F.col("n").alias("n_shingles"), "component")
+
+
+def _placed(df: DataFrame, key: str, text: str, k: int, percent: int, rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
+    """(key, n, sid, check, component) for each row of df."""
     p = lambda: prefix_column(F.col("n"), percent)
     share = share or share_of(percent)
     rows = materialise(sets_of(df, key, text, k, percent, share), "rows")
     if share < 1 and not few_rows(rows.where((F.col("n") >= SMALL) & (F.size("part") < p())), 0):
         release(rows)
-        return join(df, key, text, k, percent, rounds, 1.0)  # a set without a whole prefix in the part: take all
+        return _placed(df, key, text, k, percent, rounds, 1.0)  # a set without a whole prefix in the part: take all
     named = rows.where("n > 0 AND key IS NOT NULL")
     sets = materialise(named.groupBy("sid", "check", "n").agg(F.min("key").alias("least")), "sets")
 
@@ -204,9 +217,8 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, per
     final = sets.select("sid", "check", "least").join(classes.select("sid", "cls"), "sid", "left").select("sid", "check", "least", F.coalesce("cls", "sid").alias("cls"))
     least = final.groupBy("cls").agg(F.min("least").alias("component"))
     by_set = materialise(final.join(least, "cls").select("sid", "check", "component"), "components")
-    # a key with several texts has the least component of them
     placed = rows.join(by_set, ["sid", "check"], "left")
-    return placed.select("key", F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component", "key")).alias("component"))
+    return placed.select("key", "n", "sid", "check", F.when(F.col("key").isNotNull(), F.coalesce("component", "key")).alias("component"))
 
 
 def _whole_sets(df: DataFrame, key: str, text: str, k: int, percent: int, wanted: DataFrame) -> DataFrame:
@@ -228,14 +240,43 @@ def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     return both.where(linked(F.size(F.array_intersect("x", "y")), F.col("n1"), F.col("n2"), percent)).select("a", "b")
 
 
+def _named(df: DataFrame, text: str, k: int) -> DataFrame:
+    """df with the sid and check of each row's set, as _gl_sid and _gl_check."""
+    importable(df.sparkSession)
+    place = df.columns.index(text)
+    schema = StructType([*df.schema.fields, StructField("_gl_sid", LongType()), StructField("_gl_check", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = utf8(batch.column(place))
+            for i, j in blocks(at):
+                words, first = word_hashes(data, at[i : j + 1], NOT_WHITE)
+                with np.errstate(over="ignore"):
+                    names = np.array([name_of(s) for s in shingles(words, first, k)], U).reshape(-1, 2).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(names[:, 0]), pa.array(names[:, 1])], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """df with one row of each component: the one whose key is the component; same columns.
+    """df with the rows of each component whose key is the component; same columns.
 
-    Rows without shingles and rows with null keys stay.
+    Rows without shingles and rows with null keys stay. Of a repeated key only the rows go whose own
+    text is in the component of a smaller key.
     """
-    gone = join(df, key, text, k, percent).where("component <> key").select(F.col("key").alias("_gl_key"))
-    gone = sent(materialise(gone, "gone"))
-    return df.join(gone, F.col(f"`{key}`") == F.col("_gl_key"), "left_anti")
+    own = F.col(f"`{key}`") == F.col("_gl_key")
+    gone = _placed(df, key, text, k, percent).where("component <> key").select(F.col("key").alias("_gl_key"), F.col("sid").alias("_gl_sid"), F.col("check").alias("_gl_check"))
+    gone = materialise(gone, "gone")
+    keys = sent(gone.select("_gl_key"))
+    again = df.select(F.col(f"`{key}`").alias("_gl_again")).join(keys, F.col("_gl_again") == F.col("_gl_key"), "left_semi").groupBy("_gl_again").count().where("count > 1").select(F.col("_gl_again").alias("_gl_key"))
+    again = materialise(again, "again")
+    kept = df.join(keys, own, "left_anti")
+    if few_rows(again, 0):
+        return kept
+    named = _named(df.join(sent(again), own, "left_semi"), text, k)
+    sets = sent(gone.select(F.col("_gl_key"), F.col("_gl_sid").alias("_gl_s"), F.col("_gl_check").alias("_gl_c")))
+    rest = named.join(sets, own & (F.col("_gl_sid") == F.col("_gl_s")) & (F.col("_gl_check") == F.col("_gl_c")), "left_anti")
+    return kept.unionByName(rest.drop("_gl_sid", "_gl_check"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

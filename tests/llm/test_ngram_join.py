@@ -85,6 +85,15 @@ def test_drop_near_copies(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if c == i)
 
 
+def test_drop_near_copies_of_repeated_keys(spark):
+    rows = [(5, "a b c d"), (5, "other words of it"), (3, "other words of it"), (5, None), (5, "a b c d"), (7, "other words of it"), (None, "a b c d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("sid", F.lit("clash"))
+    kept = ngram_join.drop_near_copies(df)
+    want = [(5, "a b c d"), (3, "other words of it"), (5, None), (5, "a b c d"), (None, "a b c d")]
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(50)] + [(200, 200 + i) for i in range(30)]
