@@ -304,6 +304,13 @@ def kind_at_frame(spark, d):
     return intervals.kind_at(intervals.runs(o, "user_id", "seq", "type"), asked)
 
 
+@query("kind_at_frame_all", f"WITH {I.RUNS} SELECT user_id AS stream, seq AS frame, type AS kind FROM ord")
+def kind_at_frame_all(spark, d):
+    o = I.ordered_events(spark, d)
+    asked = o.select(F.col("user_id").alias("stream"), F.col("seq").alias("frame"))
+    return intervals.kind_at(intervals.runs(o, "user_id", "seq", "type"), asked)
+
+
 @query("rgb_gray_hsv", """WITH p AS (SELECT p_partkey AS id, (p_partkey % 97) / 96.0::DOUBLE AS r, (p_partkey % 89) / 88.0::DOUBLE AS g, (p_size % 50) / 49.0::DOUBLE AS b FROM part), m AS (SELECT *, greatest(r, g, b) AS hi, greatest(r, g, b) - least(r, g, b) AS d FROM p)
 SELECT id, round(r * 0.2989360213 + g * 0.5870430745 + b * 0.1140209043, 6) AS gray, round(CASE WHEN d = 0 THEN 0 WHEN r = hi THEN ((g - b) / d - 6 * floor((g - b) / d / 6)) WHEN g = hi THEN (b - r) / d + 2 ELSE (r - g) / d + 4 END / 6, 6) AS h, round(CASE WHEN hi = 0 THEN 0 ELSE d / hi END, 6) AS s, round(hi, 6) AS v FROM m""")
 def rgb_gray_hsv(spark, d):
