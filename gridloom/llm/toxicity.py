@@ -3,8 +3,8 @@ r"""Toxicity: a bidirectional gated recurrent network with attention pooling, tr
 A word (A-Z lower-cased, ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``) comes in twice: as a vector of its
 own, if training knows it, and as the mean of the vectors of its character trigrams. Two gated
 recurrent networks read a window of ``WINDOW`` words forwards and backwards; attention weighs their
-states; a logistic unit scores the window. All windows of a text, each ``STRIDE`` words after the
-last, are scored, and the highest score is the text's.
+states; a logistic unit scores the window. All overlapping windows of a text, one at each word, are
+scored, and the highest score is the text's.
 
 Labels say which texts are toxic, not which windows, so each round of training takes a text's
 highest window of late and, of clean texts, one at random and one that repeats a single word of
@@ -34,7 +34,7 @@ from ._common import documents, importable
 from ._pretoken import joined
 from ._text import ALNUM, BYTE_CODE, LOWER, U, blocks, mix64, powers, separated, utf8
 
-WINDOW, STRIDE = 32, 24
+WINDOW = 32
 #: Labelled rows of each class that training reads at most.
 SAMPLE = 600
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 12, 12, 12, 8
@@ -74,8 +74,8 @@ def split_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarr
 
 
 def windows(n: int) -> np.ndarray:
-    """Starts of the windows of a text of n words; together they cover it."""
-    return np.arange(0, max(1, -(-(n - WINDOW) // STRIDE) + 1)) * STRIDE if n else np.zeros(0, np.int64)
+    """Starts of all windows of a text of n words; a shorter text is one window."""
+    return np.arange(max(1, n - WINDOW + 1)) if n else np.zeros(0, np.int64)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -31,6 +31,21 @@ def test_windows_cover():
         assert seen == set(range(n)) and all(a < n for a in s.tolist())
 
 
+def test_every_run_of_words_is_a_window():
+    for n in (1, 31, 32, 33, 100, 1000):
+        assert tx.windows(n).tolist() == list(range(max(1, n - tx.WINDOW + 1)))
+    assert len(tx.windows(0)) == 0
+
+
+def test_place_in_a_long_text_does_not_matter():
+    net = tx.train(*corpus(60, 4))
+    texts, _ = corpus(40, 5)
+    run = " ".join(" ".join(texts).split()[: tx.WINDOW])
+    alone = net.score([run])[0]
+    for before in (1, 7, 13, 40):
+        assert net.score(["x " * before + run + " x" * 50])[0] >= alone - 1e-5
+
+
 def test_gradients():
     texts, labels = corpus(6, 1)
     each, rows, tri = tx.split_words(texts)
