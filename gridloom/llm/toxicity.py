@@ -2,22 +2,30 @@ r"""Toxicity: a bidirectional gated recurrent network with attention pooling, tr
 
 A word (A-Z lower-cased, ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``) comes in twice: as a vector of its
 own, if training knows it, and as the mean of the vectors of its character trigrams. Two gated
-recurrent networks read a window of ``WINDOW`` words forwards and backwards; attention weighs their
-states; a logistic unit scores the window. All overlapping windows of a text, one at each word, are
-scored, and the highest score is the text's.
+recurrent networks read a text forwards and backwards; attention weighs the states of a window of
+``WINDOW`` words; a logistic unit scores the window. All overlapping windows of a text, one at each
+word, are scored, and the highest score is the text's.
+
+A state is shared by all windows that hold its word. Texts are read in segments of ``SEGMENT``
+words; each network starts ``LEAD`` words outside of it, so that every state has read LEAD words and
+more on either side, or up to the end of the text. Windows take weighted means of states by sums of
+a doubling width. The cost is thus linear in the words, with every window scored, and the score is a
+function of the text alone; long texts are segments like short ones.
 
 Labels say which texts are toxic, not which windows, so each round of training takes a text's
 highest window of late and, of clean texts, one at random and one that repeats a single word of
 theirs. Either input of a word is left out at random, so that both learn. Word vectors start from
 smoothed log-odds.
 
-Training reads at most ``SAMPLE`` labelled rows a class, those with the least hash of the id, so
-its cost is bounded; it runs on the driver and is the same for the same rows. Scoring is one scan
-without a shuffle; the network (some MB) goes to all tasks.
+Training reads at most ``SAMPLE`` labelled rows of toxic texts and twice as many of clean ones, those
+with the least hash of the id, so its cost is bounded; it runs on the driver and is the same for the
+same rows. Scoring is one scan without a shuffle; the network (some MB) goes to all tasks.
 
-Defined results: null texts and texts without words have score 0; repeated rows each get a row; an
-empty table gives no rows; without labels of both classes all scores are 0; other columns are
-ignored by :func:`score_documents` and pass through :func:`drop_toxic`.
+Defined results: null texts and texts without words have score 0; a text under WINDOW words is one
+window; very long texts are scored whole; repeated rows each get a row and equal texts equal scores
+(up to rounding, as other rows of a block may lengthen its arrays); null keys work like others; an
+empty table gives no rows; without labels of both classes all scores are 0; other columns, whatever
+their names, are ignored by :func:`score_documents` and pass through :func:`drop_toxic`.
 """
 
 from __future__ import annotations
@@ -35,6 +43,8 @@ from ._pretoken import joined
 from ._text import ALNUM, BYTE_CODE, LOWER, U, blocks, mix64, powers, separated, utf8
 
 WINDOW = 32
+#: Words whose states are kept of one run, and words read before and after them.
+SEGMENT, LEAD = 112, 8
 #: Labelled rows of each class that training reads at most.
 SAMPLE = 600
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 12, 12, 12, 8
@@ -124,25 +134,26 @@ class Network:
             h = out[t] = new
         return out, held
 
-    def logits(self, x: np.ndarray, at: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
-        """Scores before the logistic unit, a window each."""
+    def logits(self, x: np.ndarray, at: np.ndarray, mask: np.ndarray | None, pool: np.ndarray | None = None) -> np.ndarray:
+        """Scores before the logistic unit, a window each; pool: the steps that it holds, if not all of mask."""
         p = self.p
         s = np.concatenate([self.run(d, x @ p[f"x{d}"] + p[f"c{d}"], at, mask)[0] for d in "fb"], axis=2)
         e = np.tanh(s @ p["wa"]) @ p["va"]
-        if mask is not None:
-            e = np.where(mask > 0, e, -1e9)
+        pool = mask if pool is None else pool
+        if pool is not None:
+            e = np.where(pool > 0, e, -1e9)
         a = np.exp(e - e.max(axis=0))
         a /= a.sum(axis=0)
         return np.einsum("tb,tbh->bh", a, s) @ p["out"] + p["b"][0]
 
-    def gradients(self, x: np.ndarray, place: np.ndarray, tri: list[np.ndarray], at: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, part: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the weighted mean of the logistic losses of the windows; part: which inputs count."""
+    def gradients(self, x: np.ndarray, place: np.ndarray, tri: list[np.ndarray], at: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, part: np.ndarray, pool: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Of the weighted mean of the logistic losses of the windows; part: which inputs count; pool: as in logits."""
         x = x * part
         p = self.p
         both = [self.run(d, x @ p[f"x{d}"] + p[f"c{d}"], at, mask, keep=True) for d in "fb"]
         s = np.concatenate([b[0] for b in both], axis=2)
         u = np.tanh(s @ p["wa"])
-        e = np.where(mask > 0, u @ p["va"], -1e9)
+        e = np.where((mask if pool is None else pool) > 0, u @ p["va"], -1e9)
         a = np.exp(e - e.max(axis=0))
         a /= a.sum(axis=0)
         ctx = np.einsum("tb,tbh->bh", a, s)
@@ -159,7 +170,7 @@ class Network:
         dx = np.zeros_like(x)
         for k, d in enumerate("fb"):
             wh, dh = p[f"h{d}"], np.zeros((at.shape[1], HIDDEN), np.float32)
-            gwh, ddrive = np.zeros_like(wh), np.zeros((len(x), 3 * HIDDEN), np.float32)
+            gwh, driven = np.zeros_like(wh), np.zeros((*at.shape, 3 * HIDDEN), x.dtype)
             for t, h, z, r, c, q in reversed(both[k][1]):
                 dh = dh + ds[t, :, k * HIDDEN : (k + 1) * HIDDEN]
                 m = mask[t][:, None]
@@ -167,39 +178,69 @@ class Network:
                 dz = dn * (h - c) * z * (1 - z)
                 dc = dn * (1 - z) * (1 - c * c)
                 dr = dc * q * r * (1 - r)
-                gates = np.concatenate((dz, dr, dc), axis=1)
+                driven[t, :, :HIDDEN], driven[t, :, HIDDEN : 2 * HIDDEN], driven[t, :, 2 * HIDDEN :] = dz, dr, dc
                 inner = np.concatenate((dz, dr, dc * r), axis=1)
                 gwh += h.T @ inner
-                np.add.at(ddrive, at[t], gates)
                 dh = rest + dn * z + inner @ wh.T
+            ddrive = added(at.reshape(-1), driven.reshape(-1, 3 * HIDDEN), len(x))
             g[f"h{d}"], g[f"x{d}"], g[f"c{d}"] = gwh, x.T @ ddrive, ddrive.sum(axis=0)
             dx += ddrive @ p[f"x{d}"].T
         dx *= part
-        g["word"] = np.zeros_like(p["word"])
-        np.add.at(g["word"], place, dx[:, :WORD_DIM])
+        g["word"] = added(place, dx[:, :WORD_DIM], len(p["word"]))
         g["word"][0] = 0
-        g["tri"] = np.zeros_like(p["tri"])
         n = np.diff(tri[1])
-        np.add.at(g["tri"], tri[0], np.repeat(dx[:, WORD_DIM:] / n[:, None], n, axis=0))
+        g["tri"] = added(tri[0], np.repeat(dx[:, WORD_DIM:] / n[:, None], n, axis=0), len(p["tri"]))
         return g
 
-    def window_logits(self, x: np.ndarray, rows: list[np.ndarray], batch: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def states(self, x: np.ndarray, rows: list[np.ndarray], batch: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+        """Attention weight and score of each word's state, rows one after another."""
+        p = self.p
+        flat = np.concatenate([np.zeros(0, np.int64), *rows])
+        size = np.array([len(r) for r in rows], np.int64)
+        weight, value = np.empty(len(flat), np.float32), np.empty(len(flat), np.float32)
+        count = -(-size // SEGMENT)
+        row = np.repeat(np.arange(len(rows)), count)
+        base = (np.cumsum(size) - size)[row]
+        first = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * SEGMENT
+        last = np.minimum(first + SEGMENT, size[row])
+        begin, end = np.maximum(first - LEAD, 0), np.minimum(last + LEAD, size[row])
+        drives = {d: x @ p[f"x{d}"] + p[f"c{d}"] for d in "fb"}
+        order = np.argsort(end - begin, kind="stable")  # runs alike in length together: fewer steps, rarely a mask
+        for i in range(0, len(order), batch):
+            k = order[i : i + batch]
+            at, mask = gather(flat, base[k] + begin[k], end[k] - begin[k])
+            s = np.concatenate([self.run(d, drives[d], at, None if mask.all() else mask)[0] for d in "fb"], axis=2)
+            step = np.arange(len(at))[:, None]
+            own = (step >= first[k] - begin[k]) & (step < last[k] - begin[k])
+            place = (base[k] + begin[k] + step)[own]
+            s = s[own]
+            weight[place] = np.exp(np.tanh(s @ p["wa"]) @ p["va"])
+            value[place] = s @ p["out"]
+        return weight, value
+
+    def window_logits(self, x: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Logit, row and start of all windows of the rows."""
         starts = [windows(len(r)) for r in rows]
         row = np.repeat(np.arange(len(rows)), [len(s) for s in starts])
         start = np.concatenate([np.zeros(0, np.int64), *starts])
-        if not len(row):
-            return np.zeros(0, np.float32), row, start
-        flat = np.concatenate(rows)
-        base = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
-        length = np.minimum(WINDOW, base[row + 1] - base[row] - start)
-        out = np.empty(len(row), np.float32)
-        order = np.argsort(length, kind="stable")  # windows alike in length together: fewer steps, rarely a mask
-        for i in range(0, len(order), batch):
-            k = order[i : i + batch]
-            at, mask = gather(flat, base[row[k]] + start[k], length[k])
-            out[k] = self.logits(x, at, None if mask.all() else mask)
-        return out, row, start
+        weight, value = self.states(x, rows)
+        # rows that are short of a window get words without weight
+        size = np.array([len(r) for r in rows], np.int64)
+        room = np.maximum(size, WINDOW)
+        base = np.cumsum(room) - room
+        place = np.arange(len(weight)) + np.repeat(base - (np.cumsum(size) - size), size)
+        sums = np.zeros((2, int(room.sum())))
+        sums[0, place], sums[1, place] = weight, weight.astype(np.float64) * value
+        out = np.zeros_like(sums[:, : max(0, sums.shape[1] - WINDOW + 1)])
+        done, width = 0, 1
+        while done < WINDOW:  # sums of 1, 2, 4, ... words, as the bits of WINDOW need them
+            if WINDOW & width:
+                out += sums[:, done : done + out.shape[1]]
+                done += width
+            sums = sums[:, :-width] + sums[:, width:]
+            width *= 2
+        at = base[row] + start
+        return (out[1, at] / out[0, at] + self.p["b"][0]).astype(np.float32), row, start
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Score of each text, 0 to 1."""
@@ -211,6 +252,17 @@ class Network:
         return np.where(np.isfinite(best), sigmoid(np.clip(best, -30, 30).astype(np.float64)), 0.0)
 
 
+def added(place: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """size rows: the sums of the values at each place."""
+    out = np.zeros((size, values.shape[1]), values.dtype)
+    order = np.argsort(place, kind="stable")
+    own = place[order]
+    cut = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else own
+    if len(cut):
+        out[own[cut]] = np.add.reduceat(values[order], cut, axis=0)
+    return out
+
+
 def gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(step, window) words from flat, and a mask of the steps that windows have."""
     step = np.arange(int(length.max()))[:, None]
@@ -218,6 +270,16 @@ def gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.
     return flat[np.minimum(begin + step, begin + length - 1)], mask
 
 
+def around(flat: np.ndarray, begin: np.ndarray, end: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(step, window) words of windows and LEAD words on either side, of rows from begin to end of
+    flat; masks of the steps that there are, and of those in the window."""
+    step = np.arange(-LEAD, WINDOW + LEAD)[:, None]
+    at = begin + start + step
+    there = (at >= begin) & (at < end)
+    pool = there & (step >= 0) & (step < WINDOW)
+    return flat[np.clip(at, begin, end - 1)], there.astype(np.float32), pool.astype(np.float32)
+
+
 def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int = 5) -> Network | None:
     """A network for texts with labels 0 and 1; None unless there are both."""
     y = np.array(labels, np.float32)
@@ -259,18 +321,19 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
         rate_now = 0.01 if n < rounds * 2 // 3 else 0.003
         for i in range(0, len(pick), BATCH):
             k = pick[i : i + BATCH]
-            at, mask = gather(flat, base[row[k]] + start[k], np.minimum(WINDOW, base[row[k] + 1] - base[row[k]] - start[k]))
+            at, mask, pool = around(flat, base[row[k]], base[row[k] + 1], start[k])
             target = y[row[k]]
             if len(clean):
                 again = rng.choice(clean, max(1, int(len(k) * REPEATED)))
                 at = np.concatenate((at, np.broadcast_to(again, (len(at), len(again)))), axis=1)
                 mask = np.concatenate((mask, np.ones((len(mask), len(again)), np.float32)), axis=1)
+                pool = np.concatenate((pool, np.ones((len(mask), len(again)), np.float32)), axis=1)
                 target = np.concatenate((target, np.zeros(len(again), np.float32)))
             own, inner = np.unique(at, return_inverse=True)  # the batch's words alone
             sub = [np.concatenate([tri[0][tri[1][w] : tri[1][w + 1]] for w in own]), np.concatenate(([0], np.cumsum(np.diff(tri[1])[own])))]
             xs, ps = net.vectors(each[own], sub)
             part = np.concatenate([np.repeat((rng.random((len(own), 1)) >= d).astype(np.float32), n, axis=1) for d, n in ((DROP_WORD, WORD_DIM), (DROP_CHARS, CHAR_DIM))], axis=1)
-            g = net.gradients(xs, ps, sub, inner.reshape(at.shape), mask, target, weight_of[target.astype(int)], part)
+            g = net.gradients(xs, ps, sub, inner.reshape(at.shape), mask, target, weight_of[target.astype(int)], part, pool)
             step += 1
             for name, grad in g.items():
                 m[name] = 0.9 * m[name] + 0.1 * grad
