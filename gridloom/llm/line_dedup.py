@@ -9,11 +9,16 @@ runs give all keys whose documents, summed over the runs, reach the threshold, a
 A line's key is the line without ``[\x20\x09-\x0D]`` at both ends and with A-Z lower-cased. Keys
 are known by 96 bits of hash (xxhash64 and a murmur3 hash).
 
-Cost: one scan makes (batch, hash) rows: the only large shuffle, 12 bytes a line, summed before it
-moves. A second scan looks for the common keys; the documents that have any are joined with their
-line numbers by document. Common lines never meet in one task: counts are partial sums, and the
-second look joins (document, line number, hash) with the common keys, which adaptive execution can
-split or send to all tasks by its measured size. Only SQL functions touch rows.
+Batches are anti-joined with the keys of the runs that have reached the threshold, not with all
+keys of the runs: a key below it must go on being counted.
+
+Cost: one scan hashes each line once and writes (row mark, line hashes), 12 bytes a line. Batches
+are parts of that table of about ``BATCH_ROWS`` documents, so their number, and with it the levels,
+grow with the input; the counts, summed before they move, are the largest shuffle of hashes. A second
+look joins (document, line number, hash) of that table with the common keys, and the documents that
+have any are joined with their line numbers by document. Common lines never meet in one task: counts
+are partial sums, and adaptive execution can split the second look or send the common keys to all
+tasks by their measured size. Only SQL functions touch rows.
 
 Defined results: null and empty texts have one empty line; keys without code points always stay;
 a repeated row counts as a document of its own; null keys of documents work like others; an empty
@@ -31,14 +36,18 @@ from ._common import WHITE, documents, materialise, release, text_of
 
 #: Runs of a level that are merged into one of the next level.
 FANOUT = 3
-#: Batches in which a table is added.
-BATCHES = 4
+#: Documents of a batch in which a table is added, about; there are FANOUT + 1 batches at least.
+BATCH_ROWS = 20_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def line_key(line):
-    """The key of a line."""
-    line = F.trim(line, F.lit(WHITE))
+def bare(line):
+    """line without white space at both ends."""
+    return F.trim(line, F.lit(WHITE))
+
+
+def lowered(line):
+    """line with A-Z lower-cased."""
     ascii_only = F.octet_length(line) == F.char_length(line)
     return F.when(ascii_only, F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
 
@@ -52,6 +61,11 @@ def key_hash(key):
     return F.when(F.octet_length(key) > 0, F.struct(F.xxhash64(key).alias("h"), F.hash(key).alias("c")))
 
 
+def key_hashes(text):
+    """Hashes of the keys of all lines of text. One step a transform, so that each is evaluated once."""
+    return F.transform(F.transform(F.transform(lines_of(text), bare), lowered), key_hash)
+
+
 class LineRuns:
     """Counts of documents by line key, in levelled sorted runs of Parquet files in the shared folder."""
 
@@ -96,31 +110,38 @@ class LineRuns:
         self.levels = []
 
 
-def drop_common_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 10, batches: int = BATCHES) -> DataFrame:
+def drop_common_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 10, batches: int | None = None) -> DataFrame:
     """One row per row of df: its columns, n_lines, n_dropped and kept_text."""
     spark = df.sparkSession
     body = text_of(f"`{text}`")
-    hashes = F.transform(lines_of(body), lambda x: key_hash(line_key(x)))
-    batch = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(batches)).cast("int")
-    keys = materialise(df.select(batch.alias("batch"), F.explode(F.array_distinct(hashes)).alias("k")).where("k IS NOT NULL").select("batch", "k.h", "k.c"), "keys")
+    # a document is known by its key and its text, so that repeated and null keys do no harm
+    mark = [F.col(f"`{key}`").alias("_gl_id"), F.xxhash64(body).alias("_gl_a"), F.xxhash64(F.lit(1), body).alias("_gl_b")]
+    hashed = materialise(df.select(*mark, key_hashes(body).alias("hashes")), "hashed")
+    batches = batches or max(FANOUT + 1, -(-hashed.count() // BATCH_ROWS))
+    keys = hashed.select(F.pmod("_gl_a", F.lit(batches)).alias("batch"), F.explode(F.array_distinct("hashes")).alias("k")).where("k IS NOT NULL")
     index = LineRuns(spark, threshold)
     for i in range(batches):
-        index.add(keys.where(F.col("batch") == i).select("h", "c"))
-    release(keys)
+        index.add(keys.where(F.col("batch") == i).select("k.h", "k.c"))
     common = materialise(index.common(), "common")
     index.drop()
 
-    # a document is known by its key and its text, so that repeated and null keys do no harm
-    mark = [F.col(f"`{key}`").alias("_gl_id"), F.xxhash64(body).alias("_gl_a"), F.xxhash64(F.lit(1), body).alias("_gl_b")]
-    hits = df.select(*mark, F.posexplode(hashes).alias("_gl_at", "k")).where("k IS NOT NULL").select("_gl_id", "_gl_a", "_gl_b", "_gl_at", "k.h", "k.c").join(common, ["h", "c"], "left_semi")
+    hits = hashed.select("_gl_id", "_gl_a", "_gl_b", F.posexplode("hashes").alias("_gl_at", "k")).where("k IS NOT NULL").select("_gl_id", "_gl_a", "_gl_b", "_gl_at", "k.h", "k.c").join(common, ["h", "c"], "left_semi")
     gone = hits.groupBy("_gl_id", "_gl_a", "_gl_b").agg(F.collect_set("_gl_at").alias("_gl_gone"))
-    gone = gone.select(F.col("_gl_id").alias("_gl_id2"), F.col("_gl_a").alias("_gl_a2"), F.col("_gl_b").alias("_gl_b2"), "_gl_gone")
-    rows = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in ("n_lines", "n_dropped", "kept_text")), *mark)
+    gone = materialise(gone.select(F.col("_gl_id").alias("_gl_id2"), F.col("_gl_a").alias("_gl_a2"), F.col("_gl_b").alias("_gl_b2"), "_gl_gone"), "gone")
+    release(hashed)
+    own = [F.col(f"`{c}`") for c in df.columns if c not in ("n_lines", "n_dropped", "kept_text")]
+    # the text under a name of its own: a column of the caller's may be named like a result
+    rows = df.select(*own, *mark, body.alias("_gl_body"))
     rows = rows.join(gone, F.col("_gl_id").eqNullSafe(F.col("_gl_id2")) & (F.col("_gl_a") == F.col("_gl_a2")) & (F.col("_gl_b") == F.col("_gl_b2")), "left")
-    lines = lines_of(body)
+    lines = lines_of(F.col("_gl_body"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gl_gone"))
-    kept = F.when(F.col("_gl_gone").isNull(), body).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    return rows.select(*(F.col(f"`{c}`") for c in df.columns if c not in ("n_lines", "n_dropped", "kept_text")), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_gl_gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    # in an array of one, the lines are a variable of the function and not split again for each i
+    chosen = F.get(F.transform(F.array(lines), lambda x: F.transform(stay, lambda i: F.get(x, i))), F.lit(0))
+    kept = F.when(F.col("_gl_gone").isNull(), F.col("_gl_body")).otherwise(F.array_join(chosen, "\n"))
+    # size() of null is -1 outside ANSI mode
+    dropped = F.when(F.col("_gl_gone").isNull(), 0).otherwise(F.size("_gl_gone"))
+    n_lines = F.octet_length("_gl_body") - F.octet_length(F.replace("_gl_body", F.lit("\n"), F.lit(""))) + 1
+    return rows.select(*own, n_lines.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), kept.alias("kept_text"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,18 @@ def test_line_dedup(spark, threshold):
     assert line_dedup.drop_common_lines(df.limit(0), threshold=threshold).count() == 0
 
 
+def test_line_dedup_without_ansi(spark):
+    """size() of null is -1 in that mode; nothing dropped is 0."""
+    rows = [(1, "a\nb", ""), (2, None, ""), (3, "a\na\nc", "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        got = line_dedup.drop_common_lines(df, threshold=2, batches=2).collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got) == [(1, 2, 1, "b"), (2, 1, 0, ""), (3, 3, 2, "c")]
+
+
 def test_line_runs_levels(spark):
     """Batches one after another give the counts of all at once, through compactions."""
     index = line_dedup.LineRuns(spark, threshold=3, fanout=2)
