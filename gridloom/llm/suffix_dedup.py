@@ -13,14 +13,17 @@ count. Strings of a phrase whose trigger occurs once are unique: almost all text
 strings of a phrase that occurs twice are repeated: no further look at copies.
 
 *Corpus order.* Entries that share a trigger are brought together, and the suffixes that start in
-their phrases are sorted by their first LENGTH bytes: ranks of 8 bytes are doubled to 256 and joined
-for LENGTH. An entry stands for all its places, so these ranks give the order of all suffixes of
-the corpus that can be repeated; equal ranks are repeated strings.
-
-Cost: narrow rows for phrases (one in about 137 bytes) are shuffled twice; texts move only for
-documents that have entries to sort or bytes to remove, found beforehand by a table of ``SLOTS``
-hash slots, a fixed bound. A trigger with more than ``GROUP`` entries isn't sorted in one task: the
-hashes of its strings are counted instead, spread over all tasks, with the same outcome.
+their phrases are sorted by their first LENGTH bytes: ranks of 8 bytes are doubled to 64, and ties
+are sorted on by the ranks behind. An entry stands for all its places, so these ranks give the order of all suffixes of
+the corpus that can be repeated; equal ranks are repeated strings. Suffixes of other triggers can't
+be equal and needn't be compared.
+
+Cost: narrow rows for phrases (one in about 137 bytes) are shuffled twice, those whose trigger occurs
+once end after the first; texts move twice, to be met by the places of their entries and by their
+ranges to remove. These joins are merge joins at every size.
+A task of the sort holds about a MB: a trigger with more than ``GROUP`` entries isn't sorted in one
+task, the hashes of its strings are counted instead, spread over all tasks, with the same outcome.
+Texts over ``BLOCK`` bytes are parsed in slices that overlap by LENGTH - 1 bytes.
 
 Defined results: null and empty texts have 0 bytes; texts under LENGTH bytes stay whole; repeated
 rows repeat all their strings; equal and null keys work like others; an empty table gives no rows;
@@ -32,28 +35,28 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, importable, materialise, release
+from ._common import documents, few_rows, importable, materialise, release
 from ._text import BYTE_CODE, U, blocks, mix64, powers, utf8
 
 LENGTH = 400
 #: A trigger's bytes: 128 of 400.
 GRAM_SHARE = 0.32
-#: Entries of one trigger that one task sorts at most.
-GROUP = 8000
-#: Slots of the table that tells which documents can have entries.
-SLOTS = 1 << 20
-BLOCK = 1 << 20
+#: Entries of one trigger that one task sorts at most, and bytes that it sorts at a time, about.
+GROUP, SORTED = 2000, 1 << 20
+#: Bytes that are parsed at a time; places in them take the low PLACE bits of the triggers' order.
+BLOCK, PLACE = 1 << 20, 22
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Of a block of rows: row, first start, last start (in the row), trigger's hash, hash of the
-    phrase with its context, for each run of strings with one trigger."""
+    phrase with its context, for each run of strings with one trigger. At most 1 << PLACE bytes."""
     n = len(data)
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U))
     if n < length:
@@ -64,7 +67,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
         sums = np.zeros(n + 1, U)
         np.cumsum(BYTE_CODE[data] * up[:n], out=sums[1:])
         grams = mix64((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
-    bits = U((1 << int(n).bit_length()) - 1)
+    bits = U((1 << PLACE) - 1)
     key = (grams & ~bits) | np.arange(len(grams), dtype=U)
     pad = -len(key) % width
     grid = np.concatenate((key, np.full(pad, ~U(0)))).reshape(-1, width)
@@ -104,6 +107,28 @@ def ranks(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return rank[:n].astype(np.int64)
 
 
+def repeated(data: np.ndarray, place: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Whether the string of length bytes at each place is at another place, too.
+
+    Suffixes are ranked by 64 bytes by doubling; only ties are compared further, by the ranks behind.
+    """
+    done = width = min(64, length)
+    rank = ranks(data, width)
+    alive, own = np.arange(len(place)), rank[place]
+    while True:
+        _, own, count = np.unique(own, return_inverse=True, return_counts=True)
+        tie = count[own] > 1
+        alive, own = alive[tie], own[tie].astype(U)
+        if done >= length or not len(alive):
+            break
+        step = min(done, length - width)
+        own = (own << U(32)) | rank[place[alive] + step].astype(U)
+        done = step + width
+    out = np.zeros(len(place), bool)
+    out[alive] = True
+    return out
+
+
 def covered(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Ranges of bytes that strings at the sorted starts cover."""
     if not len(starts):
@@ -112,33 +137,42 @@ def covered(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, gap + 1)].tolist(), (starts[np.append(gap, len(starts) - 1)] + length).tolist(), strict=True))
 
 
+def pieces(at: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Blocks of whole rows: first row, 0, cuts of the rows; and slices of longer rows: row, begin in
+    the row, cuts. Each string of length bytes is whole in one piece."""
+    for i, j in blocks(at, BLOCK):
+        size = int(at[j] - at[i])
+        if size <= BLOCK:
+            yield i, 0, at[i : j + 1] - at[i]
+        else:  # a single row
+            for begin in range(0, size - length + 1, BLOCK):
+                yield i, begin, np.array([0, min(BLOCK + length - 1, size - begin)])
+
+
 def _parsed(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(u, v, at, last, trig, entry) of all phrases of docs (u, v, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column(2))
-            for i, j in blocks(at, BLOCK):
-                row, first, last, trig, entry = phrases(data[at[i] : at[j]], at[i : j + 1], length, gram)
+            for i, begin, cuts in pieces(at, length):
+                row, first, last, trig, entry = phrases(data[at[i] + begin : at[i] + begin + cuts[-1]], cuts, length, gram)
+                first, last = first + begin, last + begin
                 take = pa.array(row + i, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(trig.view(np.int64)), pa.array(entry.view(np.int64))], names=["u", "v", "at", "last", "trig", "entry"])
 
     return docs.mapInArrow(run, "u bigint, v bigint, at int, last int, trig bigint, entry bigint")
 
 
-def _slots(keys: DataFrame) -> DataFrame:
-    """The hash slots of keys (u): SLOTS rows at most, at any scale."""
-    return F.broadcast(materialise(keys.select(F.pmod("u", F.lit(SLOTS)).alias("slot")).distinct(), "slots"))
-
-
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(trig, u, v, at, size, one, raw): the entries' bytes. size: strings; one: it occurs once."""
-    lists = wanted.groupBy("u", "v").agg(F.collect_list(F.struct("trig", "at", "last", "one")).alias("list"))
-    near = docs.join(_slots(wanted), F.pmod("u", F.lit(SLOTS)) == F.col("slot"), "left_semi")
-    both = near.join(lists, ["u", "v"]).select("u", "v", F.col("text").cast("binary").alias("raw"), "list")
-    part = F.explode("list").alias("e")
-    cut = lambda e: F.substring(F.col("raw"), e["at"] + 1, e["last"] - e["at"] + length)
-    return both.dropDuplicates(["u", "v"]).select("u", "v", "raw", part).select("e.trig", "u", "v", "e.at", (F.col("e.last") - F.col("e.at") + 1).alias("size"), "e.one", cut(F.col("e")).alias("raw"))
+    """(trig, u, v, at, size, one, raw, kinds): the entries' bytes. size: strings; one: it occurs once.
+
+    Rows that are alike bring an entry twice, but no entry of theirs occurs once.
+    """
+    lists = wanted.groupBy("u", "v").agg(F.collect_list(F.struct("trig", "at", "last", "one", "kinds")).alias("list"))
+    both = docs.join(lists.hint("merge"), ["u", "v"]).select("u", "v", F.col("text").cast("binary").alias("raw"), F.explode("list").alias("e"))
+    cut = F.substring("raw", F.col("e.at") + 1, F.col("e.last") - F.col("e.at") + length)
+    return both.select("e.trig", "u", "v", "e.at", (F.col("e.last") - F.col("e.at") + 1).alias("size"), "e.one", cut.alias("raw"), "e.kinds")
 
 
 def _sorted(contexts: DataFrame, length: int) -> DataFrame:
@@ -148,11 +182,9 @@ def _sorted(contexts: DataFrame, length: int) -> DataFrame:
     def work(rows: list[tuple]) -> Iterator[tuple]:
         raw = [r[4] for r in rows]
         cuts = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
-        rank = ranks(np.frombuffer(b"".join(raw), np.uint8), length)
         sizes = np.array([r[3] for r in rows])
         place = np.repeat(cuts[:-1], sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        own = rank[place]
-        twice = (np.bincount(own) > 1)[own]
+        twice = repeated(np.frombuffer(b"".join(raw), np.uint8), place, length)
         edge = np.concatenate(([0], np.cumsum(sizes)))
         for k, (u, v, at, _, _, one) in enumerate(rows):
             if one:
@@ -168,7 +200,7 @@ def _sorted(contexts: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             for trig, u, v, at, n, one, raw in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                if size > 2 << 20 and trig != last:
+                if size > SORTED and trig != last:
                     yield out(rows)
                     rows, size = [], 0
                 rows.append((u, v, at, n, raw, one))
@@ -176,7 +208,7 @@ def _sorted(contexts: DataFrame, length: int) -> DataFrame:
         if rows:
             yield out(rows)
 
-    grouped = contexts.repartition("trig").sortWithinPartitions("trig")
+    grouped = contexts.drop("kinds").repartition("trig").sortWithinPartitions("trig")
     return grouped.mapInArrow(run, "u bigint, v bigint, s int, e int")
 
 
@@ -194,7 +226,7 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
                     h = mix64((sums[length : length + n] - sums[:n]) * down[:n])
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(pa.array(np.full(n, x, t)) for x, t in ((u, np.int64), (v, np.int64))), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(np.full(n, one))], names=["h", "u", "v", "s", "one"])
 
-    strings = materialise(contexts.mapInArrow(run, "h bigint, u bigint, v bigint, s int, one boolean"), "strings")
+    strings = materialise(contexts.drop("kinds").mapInArrow(run, "h bigint, u bigint, v bigint, s int, one boolean"), "strings")
     twice = strings.groupBy("h").count().where("count > 1").select("h")
     return strings.where("one").join(twice, "h", "left_semi").select("u", "v", "s", (F.col("s") + F.lit(length)).alias("e"))
 
@@ -211,20 +243,31 @@ def ranges(df: DataFrame, key: str, text: str, length: int = LENGTH, gram: int |
     gram = gram or max(1, int(length * GRAM_SHARE))
     docs = df.select(*_keyed(df, key, text))
     parsed = materialise(_parsed(docs, length, gram), "parsed")
-    entries = parsed.groupBy("trig", "entry").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u", "v", "at", "last")).alias("at"))
+    # a table of its own: adaptive execution splits a hot trigger only between two plain exchanges
+    twice = materialise(parsed.groupBy("trig").count().where("count > 1").select("trig"), "twice")
+    near = materialise(parsed.join(twice.hint("merge"), "trig", "left_semi"), "near")
+    release(parsed)
+    release(twice)
+    entries = near.groupBy("trig", "entry").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u", "v", "at", "last")).alias("at"))
     entries = materialise(entries, "entries")
-    shared = entries.groupBy("trig").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1")
-    shared = materialise(entries.join(shared, "trig").select("trig", "entry", "n", "at", "kinds"), "shared")
-    release(entries)
-    again = parsed.join(shared.where("n > 1").select("trig", "entry"), ["trig", "entry"], "left_semi").select("u", "v", F.col("at").alias("s"), (F.col("last") + F.lit(length)).alias("e"))
+    again = near.join(entries.where("n > 1").select("trig", "entry"), ["trig", "entry"], "left_semi").select("u", "v", F.col("at").alias("s"), (F.col("last") + F.lit(length)).alias("e"))
     again = materialise(again, "again")
-    release(parsed)
-    wanted = shared.where("kinds > 1").select("trig", "kinds", "at.u", "at.v", "at.at", "at.last", (F.col("n") == 1).alias("one"))
-    few = materialise(_sorted(_contexts(docs, wanted.where(F.col("kinds") <= group), length), length), "few")
-    out = again.unionByName(few)
-    if wanted.where(F.col("kinds") > group).limit(1).count():
-        out = out.unionByName(materialise(_counted(_contexts(docs, wanted.where(F.col("kinds") > group), length), length), "many"))
-    return materialise(out.groupBy("u", "v").agg(F.collect_list(F.struct("s", "e")).alias("list")), "ranges")
+    release(near)
+    kinds = materialise(entries.groupBy("trig").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "kinds")
+    wanted = entries.join(kinds, "trig").select("trig", "kinds", "at.u", "at.v", "at.at", "at.last", (F.col("n") == 1).alias("one"))
+    contexts = materialise(_contexts(docs, wanted, length), "contexts")
+    release(entries)
+    release(kinds)
+    few = materialise(_sorted(contexts.where(F.col("kinds") <= group), length), "few")
+    made = [again, few]
+    if not few_rows(contexts.where(F.col("kinds") > group), 0):
+        made.append(materialise(_counted(contexts.where(F.col("kinds") > group), length), "many"))
+    release(contexts)
+    out = reduce(DataFrame.unionByName, made)
+    out = materialise(out.groupBy("u", "v").agg(F.collect_list(F.struct("s", "e")).alias("list")), "ranges")
+    for x in made:
+        release(x)
+    return out
 
 
 def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -244,12 +287,7 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
     found = ranges(df, key, text, length, gram, group)
     names = [*carry] if key in carry else [key, *carry]
     rows = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), *_keyed(df, key, text))
-    slots = _slots(found)
-    slot = F.pmod("u", F.lit(SLOTS)) == F.col("slot")
-    none = F.lit(None).cast("array<struct<s:int,e:int>>")
-    clean = rows.join(slots, slot, "left_anti").withColumn("list", none)
-    maybe = rows.join(slots, slot, "left_semi").join(found, ["u", "v"], "left")
-    both = clean.unionByName(maybe).select(*(f"c{i}" for i in range(len(names))), "text", "list")
+    both = rows.join(found.hint("merge"), ["u", "v"], "left").select(*(f"c{i}" for i in range(len(names))), "text", "list")
     width = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
