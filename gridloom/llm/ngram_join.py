@@ -3,16 +3,18 @@ r"""N-gram Jaccard join: grouped prefix join over word shingles.
 Documents are sets of k-word shingles (64-bit hashes). Two sets of sizes n and m link when
 100 * intersection >= percent * union. In any order of the shingles, sets that link share one of the
 first n - ceil(percent * n / 100) + 1 of each (the prefix). This also holds for what they have in a
-fixed part of all shingles, as long as that part gives each set a whole prefix: sets of ``SMALL``
-shingles and more are joined on the shingles with hashes below a bound. The steps:
-
-1. Shingles are counted over all documents; rare ones come first in the order. A set whose prefix
-   is full of shingles that it alone has links with nothing: almost all sets end here. A bitmap of
-   fixed size, filled with the shared shingles, tells most of them in a scan; what is left is joined
-   with the exact counts.
+fixed part of all shingles, as long as that part gives each set a whole prefix. Sets are joined in
+bands of sizes that double: the larger its sets, the smaller the part that a band needs, which is
+the shingles with hashes below a bound. A set that may link with smaller ones of the band below is
+listed in that band, too. The steps:
+
+1. Shingles are counted over all documents; rare ones come first in the order. Each list is joined
+   with the counts of its shared shingles; a list whose prefix is full of shingles that it alone has
+   meets nothing: almost all sets end here.
 2. Sets with identical prefix and size form groups, each looked at through one leader: in a few
    rounds every set is verified against one leader that shares a prefix shingle, and joins its class.
    This needs a row for each set, however large a family of near copies is.
+   A pair is looked at by histograms of its hashes first, which bound the intersection from above.
 3. Groups (same prefix, size and class) meet at their shared prefix shingles; pairs of other classes
    whose sizes, and the shingle's places in both orders, leave room for enough common shingles are
    expanded into members, and each pair is verified by its full sets.
@@ -29,6 +31,7 @@ are ignored.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +42,12 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ._common import documents, few_rows, importable, materialise, release
 from ._graph import components
-from ._text import NOT_WHITE, U, blocks, mix64, shingles, utf8, word_hashes
+from ._text import NOT_WHITE, U, blocks, mix64, seeds, shingles, utf8, word_hashes
 
-#: Sets of this many shingles and more are joined on a part of all shingles.
-SMALL = 320
-#: Bits of the table of shared shingles: 8 MB, whatever the corpus; where it fills up, more rows are joined exactly.
-BITS = 1 << 26
+#: Least sizes of the bands, and standard deviations by which a band's part exceeds a prefix.
+BANDS, MARGIN = tuple(0 if i == 0 else 24 << i for i in range(12)), 7
+#: Classes of a set's hashes in its histogram.
+CLASSES = 64
 #: Rounds in which each set meets one leader.
 ROUNDS = 3
 #: Rows of (hash) that are sent to all tasks at most; more are joined by shuffling.
@@ -60,9 +63,13 @@ def prefix_column(n, percent: int):
     return (n - F.floor((n * percent + 99) / 100) + 1).cast("int")
 
 
-def share_of(percent: int) -> float:
-    """The part of all shingles that larger sets are joined on: 2.5 prefixes of it."""
-    return min(1.0, 2.5 * (1 - percent / 100))
+def share_of(least: int, percent: int) -> float:
+    """The part of all shingles for sets of least shingles and more: the smallest 32nd that holds a
+    prefix with a margin."""
+    for i in range(1, 32):
+        if least * i / 32 - MARGIN * (least * i / 32 * (1 - i / 32)) ** 0.5 >= prefix_of(least, percent):
+            return i / 32
+    return 1.0
 
 
 def name_of(s: np.ndarray) -> tuple[U, U]:
@@ -70,25 +77,26 @@ def name_of(s: np.ndarray) -> tuple[U, U]:
     return mix64(np.sum(mix64(s), dtype=U, keepdims=True))[0], np.sum(mix64(s ^ U(0x5851F42D4C957F2D)), dtype=U)
 
 
-def sets_of(df: DataFrame, key: str, text: str, k: int, percent: int, share: float | None) -> DataFrame:
-    """(key, n, sid, check, every, part): shingle sets by two 64-bit sums. every: all hashes, if share
-    is None or the set is small; part: those below the share, of sets that may meet larger ones."""
+def _lists(arrays):
+    cuts = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([np.zeros(0, U), *arrays]).view(np.int64)))
+
+
+def sets_of(df: DataFrame, key: str, text: str, k: int, percent: int, parts: bool = True) -> DataFrame:
+    """(key, n, sid, check, lists): shingle sets by two 64-bit sums. lists: (lid, size, hashes) of the
+    set's band and, if it may link with sets of it, of the band below."""
     importable(df.sparkSession)
     kind = dict(df.dtypes)[key]
-    bound = U(min((1 << 64) - 1, int((share or 1.0) * (1 << 64))))
-    small, least = SMALL, SMALL * percent // 100
-    flip = U(0x6A09E667F3BCC909)  # hashes of the two kinds of lists never meet
-
-    def lists(arrays):
-        cuts = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([np.zeros(0, U), *arrays]).view(np.int64)))
+    shares = [share_of(x, percent) if parts else 1.0 for x in BANDS]
+    bounds = [U(min((1 << 64) - 1, int(x * (1 << 64)))) for x in shares]
+    flips = [seed for seed in seeds(len(BANDS), 17)]  # hashes of different bands never meet
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column(1))
-            for i, j in blocks(at):
+            for i, j in blocks(at, 1 << 20):
                 words, first = word_hashes(data, at[i : j + 1], NOT_WHITE)
-                sizes, ids, checks, every, part = [], [], [], [], []
+                sizes, ids, checks, cuts, lids, lists = [], [], [], [0], [], []
                 with np.errstate(over="ignore"):
                     for s in shingles(words, first, k):
                         n = len(s)
@@ -96,39 +104,17 @@ def sets_of(df: DataFrame, key: str, text: str, k: int, percent: int, share: flo
                         a, b = name_of(s)
                         ids.append(a)
                         checks.append(b)
-                        every.append(s if share is None or n < small else s[:0])
-                        part.append(s[: np.searchsorted(s, bound)] ^ flip if share is not None and n >= least else s[:0])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(np.array(ids, U).view(np.int64)), pa.array(np.array(checks, U).view(np.int64)), lists(every), lists(part)], names=["key", "n", "sid", "check", "every", "part"])
+                        band = bisect.bisect_right(BANDS, n) - 1
+                        below = band > 0 and n * percent < BANDS[band] * 100
+                        for x in (band, band - 1) if below else (band,) if n else ():
+                            lids.append(a ^ flips[x])
+                            lists.append(s[: np.searchsorted(s, bounds[x])] ^ flips[x] if shares[x] < 1 else s ^ flips[x])
+                        cuts.append(len(lids))
+                    lids = mix64(np.array(lids, U)).view(np.int64)
+                inner = pa.StructArray.from_arrays([pa.array(lids), pa.array([len(x) for x in lists], pa.int64()), _lists(lists)], names=["lid", "size", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(np.array(ids, U).view(np.int64)), pa.array(np.array(checks, U).view(np.int64)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), inner)], names=["key", "n", "sid", "check", "lists"])
 
-    return df.select(f"`{key}`", f"`{text}`").mapInArrow(run, f"key {kind}, n bigint, sid bigint, check bigint, every array<bigint>, part array<bigint>")
-
-
-def suspects(rows: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """(sid, n, size, h): hashes that may be shared, of lists (size hashes) that may lack a prefix of
-    hashes of their own. shared: (h)."""
-    slot = F.col("h").bitwiseAND(F.lit(BITS - 1))
-    words = shared.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("b"))
-    table = np.zeros(BITS // 64, U)  # BITS / 64 rows at most reach the driver
-    found = words.toArrow()
-    table[found["w"].to_numpy().astype(np.int64)] = found["b"].to_numpy().view(U)
-    del found
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sid, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for k in (2, 3):
-                column = batch.column(k)
-                h = column.flatten().to_numpy(zero_copy_only=False)
-                size = np.diff(column.offsets.to_numpy())
-                row = np.repeat(np.arange(len(size)), size)
-                place = (h & (BITS - 1)).astype(np.int64)
-                hit = (table[place >> 6] >> (place & 63).astype(U)) & U(1) > 0
-                own = size - np.bincount(row[hit], minlength=len(size))
-                keep = hit & (own < prefix_of(n, percent))[row]
-                row = row[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(sid[row]), pa.array(n[row]), pa.array(size[row].astype(np.int64)), pa.array(h[keep])], names=["sid", "n", "size", "h"])
-
-    return rows.where("n > 0 AND key IS NOT NULL").select("sid", "n", "every", "part").mapInArrow(run, "sid bigint, n bigint, size bigint, h bigint")
+    return df.select(f"`{key}`", f"`{text}`").mapInArrow(run, f"key {kind}, n bigint, sid bigint, check bigint, lists array<struct<lid:bigint,size:bigint,hashes:array<bigint>>>")
 
 
 def sent(df: DataFrame) -> DataFrame:
@@ -140,50 +126,52 @@ def linked(common, n, m, percent: int):
     return common * (100 + percent) >= (n + m) * percent
 
 
-def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
+def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90, rounds: int = ROUNDS, parts: bool = True) -> DataFrame:
     """(key, n_shingles, component) for each row of df; component: the least key reachable."""
-    return _placed(df, key, text, k, percent, rounds, share).select("key", F.col("n").alias("n_shingles"), "component")
+    return _placed(df, key, text, k, percent, rounds, parts).select("key", F.col("n").alias("n_shingles"), "component")
 
 
-def _placed(df: DataFrame, key: str, text: str, k: int, percent: int, rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
-    """(key, n, sid, check, component) for each row of df."""
+def _placed(df: DataFrame, key: str, text: str, k: int, percent: int, rounds: int = ROUNDS, parts: bool = True) -> DataFrame:
+    """(key, n, sid, check, component) for each row of df. parts: let bands use parts of the shingles."""
     p = lambda: prefix_column(F.col("n"), percent)
-    share = share or share_of(percent)
-    rows = materialise(sets_of(df, key, text, k, percent, share), "rows")
-    if share < 1 and not few_rows(rows.where((F.col("n") >= SMALL) & (F.size("part") < p())), 0):
+    rows = materialise(sets_of(df, key, text, k, percent, parts), "rows")
+    if parts and not few_rows(rows.where(F.exists("lists", lambda x: x["size"] < p())), 0):
         release(rows)
-        return _placed(df, key, text, k, percent, rounds, 1.0)  # a set without a whole prefix in the part: take all
+        return _placed(df, key, text, k, percent, rounds, False)  # a set without a whole prefix in a part: take all
     named = rows.where("n > 0 AND key IS NOT NULL")
     sets = materialise(named.groupBy("sid", "check", "n").agg(F.min("key").alias("least")), "sets")
 
     # 1. counts of shingles, and prefixes in their order
-    lists = named.select(F.explode(F.concat("every", "part")).alias("h"))
-    count = materialise(lists.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "count")
-    some = materialise(suspects(rows, count, percent), "some")
-    own = some.distinct().join(count, "h").groupBy("sid", "n", "size").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("own"))
+    lists = named.select("sid", "n", F.explode("lists").alias("l"))
+    each = lists.select("l.lid", F.explode("l.hashes").alias("h"))
+    count = materialise(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "count")
+    some = each.join(count.hint("merge"), "h").dropDuplicates(["h", "lid"])  # repeated texts bring a list again
+    own = some.groupBy("lid").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("own"))
+    own = own.join(lists.select("l.lid", "sid", "n", "l.size").distinct(), "lid")
     # shingles of a set alone come first and meet nothing; pos is the place in the set's order, from 1,
     # and prev the shared shingle before
     alone = (F.col("size") - F.size("own")).cast("int")
-    meet = own.select("sid", "n", alone.alias("alone"), F.col("own")["h"].alias("list"), F.posexplode(F.slice("own", 1, F.greatest(F.lit(0), p() - alone))["h"]).alias("i", "h"))
+    meet = own.where(alone < p()).select("sid", "n", alone.alias("alone"), F.col("own")["h"].alias("list"), F.posexplode(F.slice("own", 1, F.greatest(F.lit(0), p() - alone))["h"]).alias("i", "h"))
     meet = materialise(meet.select("sid", "n", "h", (F.col("alone") + F.col("i") + 1).alias("pos"), F.get("list", F.col("i") - 1).alias("prev")), "meet")
     both = meet.groupBy("h").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("h")
-    meet = materialise(meet.join(both, "h", "left_semi").select(F.lit(1).alias("space"), "h", "sid", "n", "pos", "prev").distinct(), "meet")
+    both = materialise(both, "both")
+    met = materialise(meet.join(both, "h", "left_semi").select("h", "sid", "n", "pos", "prev"), "met")
     rows_named = materialise(rows.select("key", "n", "sid", "check"), "named")
-    for x in (rows, count, some):
+    for x in (rows, count, meet, both):
         release(x)
-    rows = rows_named
+    rows, meet = rows_named, met
 
     # 2. classes by leaders
     able = meet.groupBy("sid", "n").agg(F.count(F.lit(1)).alias("live"))
-    whole = _whole_sets(df, key, text, k, percent, sets.join(able.select("sid"), "sid", "left_semi"))
+    whole = _whole_sets(df, key, text, k, sets.join(able.select("sid"), "sid", "left_semi"))
     classes = materialise(able.select("sid", "n", "live", F.col("sid").alias("cls")), "classes")
     for r in range(rounds):
         heads = classes.where("sid = cls").select("sid", "n", "live")
-        at = meet.join(heads.select("sid", "live"), "sid").groupBy("sid", "n", "live").agg(F.min(F.struct(F.xxhash64("h", F.lit(r)).alias("o"), "space", "h")).alias("k"))
-        at = materialise(at.select("sid", "n", "live", "k.space", "k.h", F.floor(F.log(F.col("n").cast("double")) / 0.1).alias("size")), "at")
-        leaders = at.groupBy("space", "h", "size").agg(F.max(F.struct("live", "sid")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        leaders = leaders.select("space", "h", "size", F.col("l.sid").alias("leader"))
-        pairs = at.join(leaders, ["space", "h", "size"]).where("sid <> leader").select(F.col("sid").alias("a"), F.col("leader").alias("b"))
+        at = meet.join(heads.select("sid", "live"), "sid").groupBy("sid", "n", "live").agg(F.min(F.struct(F.xxhash64("h", F.lit(r)).alias("o"), "h")).alias("k"))
+        at = materialise(at.select("sid", "n", "live", "k.h", F.floor(F.log(F.col("n").cast("double")) / 0.1).alias("size")), "at")
+        leaders = at.groupBy("h", "size").agg(F.max(F.struct("live", "sid")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        leaders = leaders.select("h", "size", F.col("l.sid").alias("leader"))
+        pairs = at.join(leaders, ["h", "size"]).where("sid <> leader").select(F.col("sid").alias("a"), F.col("leader").alias("b"))
         found = materialise(_verified(pairs, whole, percent), "found")
         moved = found.select(F.col("a").alias("cls"), F.col("b").alias("to"))
         new = materialise(classes.join(moved, "cls", "left").select("sid", "n", "live", F.coalesce("to", "cls").alias("cls")), "classes")
@@ -197,15 +185,15 @@ def _placed(df: DataFrame, key: str, text: str, k: int, percent: int, rounds: in
     member = meet.join(classes.select("sid", "cls"), "sid")
     group = member.groupBy("sid", "n", "cls").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("prefix"))
     group = materialise(group.select("sid", "n", "cls", F.xxhash64("n", "cls", "prefix").alias("gid")), "groups")
-    keyed = member.join(group.select("sid", "gid"), "sid").select("space", "h", "gid", "n", "cls", "pos", "prev").distinct()
-    other = keyed.select("space", "h", *(F.col(c).alias(f"{c}2") for c in ("gid", "n", "cls", "pos", "prev")))
+    keyed = member.join(group.select("sid", "gid"), "sid").select("h", "gid", "n", "cls", "pos", "prev").distinct()
+    other = keyed.select("h", *(F.col(c).alias(f"{c}2") for c in ("gid", "n", "cls", "pos", "prev")))
     near = (F.col("gid") < F.col("gid2")) & (F.col("cls") != F.col("cls2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
     # least intersection of sets that link; what stands before their first common shingle is missing from the other
     least = F.ceil((F.col("n") + F.col("n2")) * percent / (100.0 + percent) - 1e-9)
     near = near & (F.col("pos") <= F.col("n") - least + 1) & (F.col("pos2") <= F.col("n2") - least + 1) & (F.col("pos") + F.col("pos2") - 2 <= F.col("n") + F.col("n2") - 2 * least)
     # sets that share the shingle before this one, too, have met there
     near = near & ~F.coalesce(F.col("prev") == F.col("prev2"), F.lit(False))
-    pairs = keyed.join(other, ["space", "h"]).where(near).select("gid", "gid2").distinct()
+    pairs = keyed.join(other, "h").where(near).select("gid", "gid2").distinct()
     left, right = group.select("gid", F.col("sid").alias("a")), group.select(F.col("gid").alias("gid2"), F.col("sid").alias("b"))
     found = materialise(_verified(pairs.join(left, "gid").join(right, "gid2").select("a", "b"), whole, percent), "found")
 
@@ -221,22 +209,41 @@ def _placed(df: DataFrame, key: str, text: str, k: int, percent: int, rounds: in
     return placed.select("key", "n", "sid", "check", F.when(F.col("key").isNotNull(), F.coalesce("component", "key")).alias("component"))
 
 
-def _whole_sets(df: DataFrame, key: str, text: str, k: int, percent: int, wanted: DataFrame) -> DataFrame:
-    """(sid, n, hashes) of the wanted sets, from the texts of one row each."""
+def _whole_sets(df: DataFrame, key: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
+    """(sid, n, hist, hashes) of the wanted sets, from the texts of one row each. hist: how many hashes
+    there are in each of CLASSES classes."""
+    importable(df.sparkSession)
     keys = materialise(wanted.select(F.col("least").alias("_gl_key"), F.col("sid").alias("w")), "wanted")
     texts = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(sent(keys.select(F.col("_gl_key").alias("key")).distinct()), "key", "left_semi")
-    found = sets_of(texts, "key", "text", k, percent, None).withColumnRenamed("every", "hashes")
+    kind = dict(df.dtypes)[key]
+    shift = U(64 - CLASSES.bit_length() + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = utf8(batch.column(1))
+            for i, j in blocks(at, 1 << 20):
+                words, first = word_hashes(data, at[i : j + 1], NOT_WHITE)
+                with np.errstate(over="ignore"):
+                    sets = list(shingles(words, first, k))
+                    ids = np.array([name_of(s)[0] for s in sets], U).view(np.int64)
+                hist = np.array([np.bincount((s >> shift).astype(np.int64), minlength=CLASSES) for s in sets], np.int32).reshape(-1)
+                hist = pa.ListArray.from_arrays(pa.array(np.arange(0, CLASSES * len(sets) + 1, CLASSES, dtype=np.int32)), pa.array(hist))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), hist, _lists(sets)], names=["key", "sid", "n", "hist", "hashes"])
+
+    found = texts.mapInArrow(run, f"key {kind}, sid bigint, n bigint, hist array<int>, hashes array<bigint>")
     # a repeated key may bring other texts, and repeated rows the same set again
-    found = found.join(keys, (found["key"] == keys["_gl_key"]) & (found["sid"] == keys["w"]), "left_semi").select("sid", "n", "hashes")
+    found = found.join(keys, (found["key"] == keys["_gl_key"]) & (found["sid"] == keys["w"]), "left_semi").select("sid", "n", "hist", "hashes")
     return materialise(found, "whole") if few_rows(df.groupBy(f"`{key}`").count().where("count > 1"), 0) else materialise(found.dropDuplicates(["sid"]), "whole")
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets link."""
-    left = whole.select(F.col("sid").alias("a"), F.col("n").alias("n1"), F.col("hashes").alias("x"))
-    right = whole.select(F.col("sid").alias("b"), F.col("n").alias("n2"), F.col("hashes").alias("y"))
-    fit = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
-    both = pairs.join(left, "a").join(right, "b").where(fit)
+    """The pairs (a, b) whose full sets link. Histograms bound the intersection first, so that few
+    pairs carry sets."""
+    side = lambda name, n, x, y: whole.select(F.col("sid").alias(name), F.col("n").alias(n), F.col(x).alias(y))
+    near = pairs.join(side("a", "n1", "hist", "x"), "a").join(side("b", "n2", "hist", "y"), "b").where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
+    most = F.aggregate(F.zip_with("x", "y", lambda u, v: F.least(u, v)), F.lit(0), lambda s, v: s + v)
+    near = materialise(near.where(linked(most, F.col("n1"), F.col("n2"), percent)).select("a", "b"), "near")
+    both = near.join(side("a", "n1", "hashes", "x"), "a").join(side("b", "n2", "hashes", "y"), "b")
     return both.where(linked(F.size(F.array_intersect("x", "y")), F.col("n1"), F.col("n2"), percent)).select("a", "b")
 
 

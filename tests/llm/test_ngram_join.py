@@ -61,13 +61,22 @@ def corpus(seed):
 
 @pytest.mark.parametrize("seed,k,percent,small", [(1, 3, 90, 320), (2, 3, 90, 60), (3, 5, 80, 40), (4, 3, 90, 1)])
 def test_join_is_exact(spark, monkeypatch, seed, k, percent, small):
-    monkeypatch.setattr(ngram_join, "SMALL", small)
+    # bands begin at small sizes, so that parts of the shingles, lists in two bands and the return to all shingles occur
+    monkeypatch.setattr(ngram_join, "BANDS", (0, *(small << i for i in range(8))))
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash")).withColumn("sid", F.lit(1))
     got = {r.key: (r.n_shingles, r.component) for r in ngram_join.join(df, k=k, percent=percent).collect()}
     assert got == brute(rows, k, percent)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_parts_hold_prefixes(percent):
+    for least in ngram_join.BANDS:
+        share = ngram_join.share_of(least, percent)
+        assert share == 1 or least * share > ngram_join.prefix_of(least, percent)
+    assert ngram_join.share_of(100_000, percent) < 0.3
+
+
 def test_odd_keys(spark):
     rows = [(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (5, "other words of it"), (3, "other words of it"), (9, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
