@@ -112,7 +112,7 @@ def homography_grid(spark, d):
     return _out(warps.warped(_grid(spark, d), H, W, (0.9, 0.1, 1, -0.05, 1.1, 0, 0.002, -0.003, 1)))
 
 
-@query("jitter_grid", " UNION ALL ".join(f"(SELECT {n} AS n, * FROM ({_warp_sql(y, x)}))" for n, (y, x) in enumerate([("(p - 1)", "(q + 0)"), ("(p + 0.5)", "(q - 2)")]))
+@query("jitter_grid", " UNION ALL ".join(f"(SELECT {n} AS n, * FROM ({_warp_sql(y, x)}))" for n, (y, x) in enumerate([("(p - 1)", "(q + 0)"), ("(p + 0.5)", "(q - 2)")])))
 def jitter_grid(spark, d):
     j = warps.jittered(_grid(spark, d), H, W, [0.0], [(1.0, 0.0), (-0.5, 2.0)])
     return j.select(F.col("n").cast("int").alias("n"), "r", "c", r6("v").alias("v"))
