@@ -24,7 +24,7 @@ from ._common import documents, few_rows, materialise, release, text_of
 
 #: Code points of the normalised text that the prefix hash reads.
 PREFIX = 64
-#: Most (length, prefix hash) pairs that are sent to every task: 16 bytes each.
+#: Most (length, prefix hash) pairs, or (key, hash) pairs of rows to drop, that are sent to every task.
 SENT_PAIRS = 250_000
 
 
@@ -59,7 +59,8 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", carry:
 
     best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("key").isNull().alias("n"), F.col("key").alias("k"), F.col("uid").alias("u")))
     deep = found.where("full_sha256 IS NOT NULL")
-    groups = deep.groupBy("len", "full_sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # a table of its own: adaptive execution splits a hot group only between two plain exchanges
+    groups = materialise(deep.groupBy("len", "full_sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
     out = lambda keep, size, kept: ["key", keep.alias("keep_key"), size.alias("group_size"), kept.alias("kept"), "full_sha256", *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry))]
     single = found.where("full_sha256 IS NULL").select(*out(F.col("key"), F.lit(1).cast("long"), F.lit(True)))
     grouped = deep.join(groups, ["len", "full_sha256"]).select(*out(F.col("best.k"), F.col("group_size"), F.col("uid") == F.col("best.u")))
@@ -76,7 +77,8 @@ def drop_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     marks = materialise(marks.where("NOT stay OR n > 1"), "gone")
     rows = df.withColumn("_gl_sum", F.sha2(normalised(text_of(f"`{text}`")), 256))
     same = F.col(f"`{key}`").eqNullSafe(F.col("_gl_key")) & (F.col("_gl_sum") == F.col("_gl_sha"))
-    out = rows.join(marks.select("_gl_key", "_gl_sha"), same, "left_anti").drop("_gl_sum")
+    gone = marks.select("_gl_key", "_gl_sha")
+    out = rows.join(F.broadcast(gone) if few_rows(gone, SENT_PAIRS) else gone, same, "left_anti").drop("_gl_sum")
     again = marks.where("stay").select("_gl_key", "_gl_sha")
     if few_rows(again, 0):
         return out
