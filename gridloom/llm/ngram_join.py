@@ -4,9 +4,8 @@ Documents are sets of k-word shingles (64-bit hashes). Two sets of sizes n and m
 100 * intersection >= percent * union. In any order of the shingles, sets that link share one of the
 first n - ceil(percent * n / 100) + 1 of each (the prefix). This also holds for what they have in a
 fixed part of all shingles, as long as that part gives each set a whole prefix. Sets are joined in
-bands of sizes that double: the larger its sets, the smaller the part that a band needs, which is
-the shingles with hashes below a bound. A set that may link with smaller ones of the band below is
-listed in that band, too. The steps:
+bands of sizes: smaller ones on all shingles, larger ones on those with hashes below a bound. A set
+that may link with smaller ones of the band below is listed in that band, too. The steps:
 
 1. Shingles are counted over all documents; rare ones come first in the order. Each list is joined
    with the counts of its shared shingles; a list whose prefix is full of shingles that it alone has
@@ -44,8 +43,9 @@ from ._common import documents, few_rows, importable, materialise, release
 from ._graph import components
 from ._text import NOT_WHITE, U, blocks, mix64, seeds, shingles, utf8, word_hashes
 
-#: Least sizes of the bands, and standard deviations by which a band's part exceeds a prefix.
-BANDS, MARGIN = tuple(0 if i == 0 else 24 << i for i in range(12)), 7
+#: Least sizes of the bands, and the prefixes that the part of a band of larger sets holds on average.
+#: A part of few prefixes is short, but its prefixes reach into frequent shingles, where many sets meet.
+BANDS, PREFIXES = (0, 320), 2.5
 #: Classes of a set's hashes in its histogram.
 CLASSES = 64
 #: Rounds in which each set meets one leader.
@@ -64,12 +64,8 @@ def prefix_column(n, percent: int):
 
 
 def share_of(least: int, percent: int) -> float:
-    """The part of all shingles for sets of least shingles and more: the smallest 32nd that holds a
-    prefix with a margin."""
-    for i in range(1, 32):
-        if least * i / 32 - MARGIN * (least * i / 32 * (1 - i / 32)) ** 0.5 >= prefix_of(least, percent):
-            return i / 32
-    return 1.0
+    """The part of all shingles for sets of least shingles and more."""
+    return min(1.0, PREFIXES * (1 - percent / 100)) if least else 1.0
 
 
 def name_of(s: np.ndarray) -> tuple[U, U]:
@@ -142,20 +138,20 @@ def _placed(df: DataFrame, key: str, text: str, k: int, percent: int, rounds: in
     sets = materialise(named.groupBy("sid", "check", "n").agg(F.min("key").alias("least")), "sets")
 
     # 1. counts of shingles, and prefixes in their order
-    lists = named.select("sid", "n", F.explode("lists").alias("l"))
+    lists = named.select("sid", "n", F.posexplode("lists").alias("low", "l"))  # low: 0 in the set's own band, 1 below
     each = lists.select("l.lid", F.explode("l.hashes").alias("h"))
     count = materialise(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "count")
     some = each.join(count.hint("merge"), "h").dropDuplicates(["h", "lid"])  # repeated texts bring a list again
     own = some.groupBy("lid").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("own"))
-    own = own.join(lists.select("l.lid", "sid", "n", "l.size").distinct(), "lid")
+    own = own.join(lists.select("l.lid", "sid", "n", "l.size", "low").distinct(), "lid")
     # shingles of a set alone come first and meet nothing; pos is the place in the set's order, from 1,
     # and prev the shared shingle before
     alone = (F.col("size") - F.size("own")).cast("int")
-    meet = own.where(alone < p()).select("sid", "n", alone.alias("alone"), F.col("own")["h"].alias("list"), F.posexplode(F.slice("own", 1, F.greatest(F.lit(0), p() - alone))["h"]).alias("i", "h"))
-    meet = materialise(meet.select("sid", "n", "h", (F.col("alone") + F.col("i") + 1).alias("pos"), F.get("list", F.col("i") - 1).alias("prev")), "meet")
+    meet = own.where(alone < p()).select("sid", "n", "low", alone.alias("alone"), F.col("own")["h"].alias("list"), F.posexplode(F.slice("own", 1, F.greatest(F.lit(0), p() - alone))["h"]).alias("i", "h"))
+    meet = materialise(meet.select("sid", "n", "low", "h", (F.col("alone") + F.col("i") + 1).alias("pos"), F.get("list", F.col("i") - 1).alias("prev")), "meet")
     both = meet.groupBy("h").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("h")
     both = materialise(both, "both")
-    met = materialise(meet.join(both, "h", "left_semi").select("h", "sid", "n", "pos", "prev"), "met")
+    met = materialise(meet.join(both, "h", "left_semi").select("h", "sid", "n", "low", "pos", "prev"), "met")
     rows_named = materialise(rows.select("key", "n", "sid", "check"), "named")
     for x in (rows, count, meet, both):
         release(x)
@@ -166,8 +162,9 @@ def _placed(df: DataFrame, key: str, text: str, k: int, percent: int, rounds: in
     whole = _whole_sets(df, key, text, k, sets.join(able.select("sid"), "sid", "left_semi"))
     classes = materialise(able.select("sid", "n", "live", F.col("sid").alias("cls")), "classes")
     for r in range(rounds):
+        # sets at both sides of a band's edge meet in the lower band, in every second round
         heads = classes.where("sid = cls").select("sid", "n", "live")
-        at = meet.join(heads.select("sid", "live"), "sid").groupBy("sid", "n", "live").agg(F.min(F.struct(F.xxhash64("h", F.lit(r)).alias("o"), "h")).alias("k"))
+        at = meet.join(heads.select("sid", "live"), "sid").groupBy("sid", "n", "live").agg(F.min(F.struct((F.col("low") != (r + 1) % 2).alias("f"), F.xxhash64("h", F.lit(r)).alias("o"), "h")).alias("k"))
         at = materialise(at.select("sid", "n", "live", "k.h", F.floor(F.log(F.col("n").cast("double")) / 0.1).alias("size")), "at")
         leaders = at.groupBy("h", "size").agg(F.max(F.struct("live", "sid")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1")
         leaders = leaders.select("h", "size", F.col("l.sid").alias("leader"))
@@ -178,7 +175,7 @@ def _placed(df: DataFrame, key: str, text: str, k: int, percent: int, rounds: in
         for x in (at, classes):
             release(x)
         classes = new
-        if few_rows(found, 0):
+        if r and few_rows(found, 0):
             break
 
     # 3. groups of one prefix, size and class; pairs of groups of other classes; their members
