@@ -114,8 +114,10 @@ def cut_histogram(data: DataFrame, cut_: DataFrame, clusters: int) -> DataFrame:
 
 
 def tree_histogram(data: DataFrame, parents: DataFrame) -> DataFrame:
-    """(node, n): rows of data whose word is below each node or the node itself."""
-    level = data.groupBy(F.col("word").cast("long").alias("node")).agg(F.count(F.lit(1)).alias("n")).join(parents.select("node"), "node")
+    """(node, n): rows of data whose word is below each node, or the node itself if it is a leaf; values
+    that aren't leaves of the tree count nowhere."""
+    leaves = parents.select("node").join(parents.select(F.col("parent").alias("node")), "node", "left_anti")
+    level = data.groupBy(F.col("word").cast("long").alias("node")).agg(F.count(F.lit(1)).alias("n")).join(leaves, "node")
     total = level
     while True:
         level = level.join(parents.where("parent IS NOT NULL"), "node").groupBy(F.col("parent").alias("node")).agg(F.sum("n").alias("n"))
