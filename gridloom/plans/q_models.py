@@ -297,15 +297,8 @@ def runs_to_frames(spark, d):
     return intervals.frames(intervals.runs(I.ordered_events(spark, d), "user_id", "seq", "type"))
 
 
-@query("kind_at_frame", f"WITH {I.RUNS} SELECT user_id AS stream, seq AS frame, type AS kind FROM ord WHERE seq % 3 = 0")
+@query("kind_at_frame", f"WITH {I.RUNS} SELECT user_id AS stream, seq AS frame, type AS kind FROM ord")
 def kind_at_frame(spark, d):
-    o = I.ordered_events(spark, d)
-    asked = o.where("seq % 3 = 0").select(F.col("user_id").alias("stream"), F.col("seq").alias("frame"))
-    return intervals.kind_at(intervals.runs(o, "user_id", "seq", "type"), asked)
-
-
-@query("kind_at_frame_all", f"WITH {I.RUNS} SELECT user_id AS stream, seq AS frame, type AS kind FROM ord")
-def kind_at_frame_all(spark, d):
     o = I.ordered_events(spark, d)
     asked = o.select(F.col("user_id").alias("stream"), F.col("seq").alias("frame"))
     return intervals.kind_at(intervals.runs(o, "user_id", "seq", "type"), asked)

@@ -76,15 +76,9 @@ def improc_chain(spark, d):
     return improc.process(I.count_grid(spark, d), "norm, rev, box:1, *:2, t+:0.9").select("r", "c", r6("v").alias("v"))
 
 
-@query("connected_components", """WITH RECURSIVE l AS (SELECT DISTINCT p_partkey AS a, p_partkey + 1 + p_size % 3 AS b FROM part WHERE p_size % 5 = 0), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-w(a, b) AS (SELECT a, a FROM e UNION SELECT w.a, e.b FROM w JOIN e ON e.a = w.b) SELECT a AS node, min(b) AS root FROM w GROUP BY 1""")
+@query("connected_components", """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey + 1 + p_size % 3 AS b FROM part UNION SELECT p_partkey + 1 + p_size % 3, p_partkey FROM part),
+w(node, root) USING KEY (node) AS (SELECT a, min(a) FROM e GROUP BY a UNION SELECT e.b, min(w.root) FROM w JOIN e ON e.a = w.node JOIN recurring.w AS o ON o.node = e.b WHERE w.root < o.root GROUP BY e.b)
+SELECT node, root FROM w""")
 def connected_components(spark, d):
-    k = F.col("p_partkey")
-    return fields.components_of(I.table(spark, d, "part").where("p_size % 5 = 0").select(k.alias("a"), (k + 1 + F.col("p_size") % 3).alias("b")))
-
-
-# no SQL: on whole tables the chains are as long as the table, which the recursive form can't afford
-@query("connected_components_all")
-def connected_components_all(spark, d):
     k = F.col("p_partkey")
     return fields.components_of(I.table(spark, d, "part").select(k.alias("a"), (k + 1 + F.col("p_size") % 3).alias("b")))
