@@ -120,6 +120,61 @@ def test_sharding_odd_rows(spark):
     assert sorted((r.shard, r.slot) for r in rows) == [(0, 0), (0, 1), (1, 0), (1, 1)]
 
 
+@pytest.mark.parametrize("hot", [0, 2000])
+def test_sharding_groups(spark, hot):
+    """Each shard takes its groups whole but where it is full; a group of over a third of all rows,
+    dealt in parts, takes the room that the keys of their own arcs leave."""
+    rows = [(i, f"group {i % 500}") for i in range(4000)] + [(10_000 + i, "hot") for i in range(hot)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.shard(df, shards=12, group="text").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == rows
+    sizes = [sum(r.shard == s for r in got) for s in range(12)]
+    assert max(sizes) - min(sizes) <= 1
+    for s in range(12):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sizes[s]))
+    where = {}
+    for r in got:
+        where.setdefault(r.text, set()).add(r.shard)
+    # a shard is left unfinished by one group on its own arc and by one that overflowed into it
+    assert sum(len(x) - 1 for t, x in where.items() if t != "hot") <= 24
+    assert not hot or len(where["hot"]) >= 4
+    again = sharding.shard(df.repartition(3, "text"), shards=12, group="text").collect()
+    assert {r.doc_id: (r.shard, r.slot) for r in again} == {r.doc_id: (r.shard, r.slot) for r in got}
+
+
+@pytest.mark.parametrize("hot", [0, 900])
+def test_sharding_brute_force(spark, hot):
+    """Rows one at a time around the ring, in the operator's order of cells, then of ranks."""
+    n, shards, cells = 1500, 6, 64
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < hot, 0).otherwise(F.col("id")).alias("g"))
+    cell = F.pmod(F.xxhash64("g"), F.lit(cells)).cast("int")
+    got = sharding.shard(df, shards=shards, cells=cells, nodes=4, group="g").withColumn("cell", cell).collect()
+    owner = sharding.ring(shards, cells, 4)
+    room = [n // shards + (s < n % shards) for s in range(shards)]
+    count, want = {}, {}
+    for r in got:
+        count[r.cell] = count.get(r.cell, 0) + 1
+    left = {}
+    for c in sorted(count):
+        for _ in range(count[c]):
+            full = not room[owner[c]]
+            left[c] = left.get(c, 0) + full
+            if not full:
+                room[owner[c]] -= 1
+                want[c, owner[c]] = want.get((c, owner[c]), 0) + 1
+    for c in sorted(left):
+        for _ in range(left[c]):
+            step = c
+            while not room[owner[step]]:
+                step = (step + 1) % cells
+            room[owner[step]] -= 1
+            want[c, owner[step]] = want.get((c, owner[step]), 0) + 1
+    have = {}
+    for r in got:
+        have[r.cell, r.shard] = have.get((r.cell, r.shard), 0) + 1
+    assert have == want
+
+
 def test_op3_columns(spark):
     rows = sharding.op3_sharding(spark, "/root/testdata/sf0.001").collect()
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
