@@ -167,12 +167,13 @@ def _placed(df: DataFrame, key: str, text: str, k: int, percent: int, rounds: in
         at = meet.join(heads.select("sid", "live"), "sid").groupBy("sid", "n", "live").agg(F.min(F.struct((F.col("low") != (r + 1) % 2).alias("f"), F.xxhash64("h", F.lit(r)).alias("o"), "h")).alias("k"))
         at = materialise(at.select("sid", "n", "live", "k.h", F.floor(F.log(F.col("n").cast("double")) / 0.1).alias("size")), "at")
         leaders = at.groupBy("h", "size").agg(F.max(F.struct("live", "sid")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        leaders = leaders.select("h", "size", F.col("l.sid").alias("leader"))
-        pairs = at.join(leaders, ["h", "size"]).where("sid <> leader").select(F.col("sid").alias("a"), F.col("leader").alias("b"))
+        # a table of its own: a family's rows needn't meet its one leader in one task
+        leaders = materialise(leaders.select("h", "size", F.col("l.sid").alias("leader")), "leaders")
+        pairs = at.join(sent(leaders), ["h", "size"]).where("sid <> leader").select(F.col("sid").alias("a"), F.col("leader").alias("b"))
         found = materialise(_verified(pairs, whole, percent), "found")
         moved = found.select(F.col("a").alias("cls"), F.col("b").alias("to"))
         new = materialise(classes.join(moved, "cls", "left").select("sid", "n", "live", F.coalesce("to", "cls").alias("cls")), "classes")
-        for x in (at, classes):
+        for x in (at, leaders, classes):
             release(x)
         classes = new
         if r and few_rows(found, 0):
