@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, licenses, line_dedup, ngram_join, packing, sharding, suffix_dedup, toxicity
+from . import alignment, bpe, divergence, exact_dedup, fingerprints, licenses, line_dedup, ngram_join, packing, sharding, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_substring_dedup": substring_dedup.op13_substring_dedup,
 }
 ORACLE = {
     "op7_line_dedup": line_dedup.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op12_divergence": divergence.ORACLE,
+    "op13_substring_dedup": substring_dedup.ORACLE,
 }
