@@ -20,7 +20,7 @@ def oriented_ellipse(f: Sequence[Column]) -> list[Column]:
         return [f[0], f[1], c, s, -s, c]
     if len(f) == 5:  # lower triangle that makes the covariance (s11, s12, s22)
         a = F.sqrt(f[2])
-        b = f[3] / a
+        b = f[3] / F.greatest(a, F.lit(1e-18))
         return [f[0], f[1], a, b, zero, F.sqrt(F.greatest(f[4] - b * b, zero))]
     return list(f)
 

@@ -35,18 +35,31 @@ def svd2(a: Column, b: Column, c: Column, d: Column) -> dict[str, Column]:
     return {"s1": q + r, "s2": q - r, "left": (two + one) / 2, "right": (two - one) / 2}
 
 
+def _stacked(a: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Solutions of systems (k, n, n) and (k, n); NaN where a matrix is singular."""
+    try:
+        return np.linalg.solve(a, v[..., None])[..., 0]
+    except np.linalg.LinAlgError:  # some matrix is singular: the others go alone
+        fit = np.abs(np.linalg.det(a)) > 0
+        out = np.full(v.shape, np.nan)
+        out[fit] = np.linalg.solve(a[fit], v[fit][..., None])[..., 0]
+        return out
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def solve(m: pd.Series, b: pd.Series) -> pd.Series:
-    """x of m x = b, by elimination with row pivots; m: n * n numbers, rows one after another; null
-    where m is singular or has a null."""
-
-    def one(a, v):
-        if a is None or v is None:
-            return None
-        try:
-            x = np.linalg.solve(np.asarray(a, float).reshape(len(v), len(v)), np.asarray(v, float))
-        except np.linalg.LinAlgError:
-            return None
-        return x.tolist() if np.isfinite(x).all() else None
-
-    return pd.Series([one(a, v) for a, v in zip(m, b, strict=True)])
+    """x of m x = b; m: n * n numbers, rows one after another; null where m is singular or has a null. Systems of
+    one size are solved together."""
+    out = pd.Series([None] * len(m), index=m.index, dtype=object)
+    sizes = b.map(lambda v: -1 if v is None else len(v))
+    for n in sizes.unique():
+        own = sizes.index[(sizes == n) & m.map(lambda a, n=n: a is not None and len(a) == n * n)]
+        if n < 1 or not len(own):
+            continue
+        a, v = (np.array(s[own].tolist(), float) for s in (m, b))
+        clean = np.isfinite(a).all(axis=1) & np.isfinite(v).all(axis=1)
+        x = np.full(v.shape, np.nan)
+        x[clean] = _stacked(a[clean].reshape(-1, n, n), v[clean])
+        for i, row in zip(own, x, strict=True):
+            out[i] = row.tolist() if np.isfinite(row).all() else None
+    return out

@@ -28,7 +28,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _mean_vectors(rows: DataFrame, by: str, digits: int | None = None) -> DataFrame:
+def means(rows: DataFrame, by: str, digits: int | None = None) -> DataFrame:
     """(k, c): mean of x (arrays) by column ``by``."""
     m = F.avg("v")
     long = rows.select(F.col(by).alias("k"), F.posexplode("x").alias("i", "v")).groupBy("k", "i").agg((F.round(m, digits) if digits is not None else m).alias("m"))
@@ -39,7 +39,7 @@ def kmeans_step(rows: DataFrame, centres: DataFrame, digits: int | None = None)
     """(k, c) after one step: rows (id, x) go to the nearest centre, centres to the mean of their
     rows; a centre without rows stays."""
     at = nearest_centre(rows, centres)
-    moved = _mean_vectors(rows.join(at.select("id", "k"), "id"), "k", digits).withColumnRenamed("c", "n")
+    moved = means(rows.join(at.select("id", "k"), "id"), "k", digits).withColumnRenamed("c", "n")
     return centres.join(moved, "k", "left").select("k", F.coalesce("n", "c").alias("c"))
 
 

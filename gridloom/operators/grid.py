@@ -7,6 +7,7 @@ tasks; separable filters run as two passes. Borders are named at each operator.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,10 +50,39 @@ def _pass(df: DataFrame, along: str, radius: int, agg) -> DataFrame:
     return df.select("r", "c", agg(F.col("v"), w).alias("v"))
 
 
+def mirrored_filter(df: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """Separable stencil with the given odd number of weights over whole lines; cells outside mirror those
+    inside, the border cell first. A line is an array, a row of its own."""
+    radius, out = len(weights) // 2, df.select("r", "c", "v")
+    for along in ("c", "r"):
+        fixed, order = _line(along)
+        lines = out.groupBy(fixed).agg(F.array_sort(F.collect_list(F.struct(order, "v"))).alias("a"))
+
+        def at(i: Column) -> Column:
+            n = F.size("a")
+            j = F.pmod(i, 2 * n)
+            return F.get("a", F.when(j < n, j).otherwise(2 * n - 1 - j))["v"]
+
+        value = lambda i: reduce(lambda s, k: s + at(i + (k - radius)) * weights[k], range(1, len(weights)), at(i - radius) * weights[0])
+        made = F.transform("a", _numbered(order, value))
+        out = lines.select(fixed, F.explode(made).alias("s")).select(fixed, F.col(f"s.{order}").alias(order), "s.v").select("r", "c", "v")
+    return out
+
+
+def _numbered(order: str, value):
+    return lambda s, i: F.struct(s[order].alias(order), value(i).alias("v"))
+
+
+def sampled(df: DataFrame, h: int, w: int, step: int) -> DataFrame:
+    """Every step-th row and column, from the middle of the first ``step`` on."""
+    first = step // 2
+    keep = (F.pmod(F.col("r") - first, F.lit(step)) == 0) & (F.pmod(F.col("c") - first, F.lit(step)) == 0) & (F.col("r") < h // step * step) & (F.col("c") < w // step * step)
+    return df.where(keep & (F.col("r") >= first) & (F.col("c") >= first)).select(((F.col("r") - first) / step).cast("int").alias("r"), ((F.col("c") - first) / step).cast("int").alias("c"), "v")
+
+
 def box_filter(df: DataFrame, radius: int) -> DataFrame:
-    """Mean over the (2 radius + 1) square, over the cells there are."""
-    one = _pass(df, "c", radius, lambda v, w: F.avg(v).over(w))
-    return _pass(one, "r", radius, lambda v, w: F.avg(v).over(w))
+    """Mean over the (2 radius + 1) square, with mirrored borders."""
+    return mirrored_filter(df, [1 / (2 * radius + 1)] * (2 * radius + 1))
 
 
 def max_filter(df: DataFrame, radius: int) -> DataFrame:
@@ -77,9 +107,17 @@ def weighted_filter(df: DataFrame, weights: Sequence[float]) -> DataFrame:
     return out
 
 
-def triangle_filter(df: DataFrame, radius: int) -> DataFrame:
+def triangle_filter(df: DataFrame, radius: float) -> DataFrame:
+    """Weights that fall linearly to 0 at radius + 1, with mirrored borders; up to a radius of 1 three weights 1, p, 1
+    with p = 12 / radius / (radius + 2) - 2."""
+    if radius == 0:
+        return df.select("r", "c", "v")
+    if radius <= 1:
+        p = 12 / radius / (radius + 2) - 2
+        return mirrored_filter(df, [x / (2 + p) for x in (1, p, 1)])
+    radius = round(radius)
     total = (radius + 1) ** 2
-    return weighted_filter(df, [(radius + 1 - abs(k)) / total for k in range(-radius, radius + 1)])
+    return mirrored_filter(df, [(radius + 1 - abs(k)) / total for k in range(-radius, radius + 1)])
 
 
 def gaussian_weights(sigma: float, radius: int | None = None) -> list[float]:

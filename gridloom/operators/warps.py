@@ -45,8 +45,9 @@ def padded(df: DataFrame, h: int, w: int, pad: tuple[int, int, int, int], mode:
 
 
 def to_size(df: DataFrame, h: int, w: int, h2: int, w2: int, value: float = 0.0) -> DataFrame:
-    """The middle h2 by w2 cells, or df in the middle of that size."""
-    dr, dc = math.floor((h - h2) / 2), math.floor((w - w2) / 2)
+    """The middle h2 by w2 cells, or df in the middle of that size; of an odd difference the larger half
+    goes before the first cell that is kept."""
+    dr, dc = -((h2 - h) // 2), -((w2 - w) // 2)
     return looked_up(lattice(df, h2, w2).select("r", "c", (F.col("r") + dr).alias("sr"), (F.col("c") + dc).alias("sc")), df, value)
 
 
@@ -98,9 +99,9 @@ def backward(df: DataFrame, h: int, w: int, at: DataFrame) -> DataFrame:
 
 
 def homography(y: Column, x: Column, m: Sequence[float]) -> list[Column]:
-    """Where the projective map with the rows of m takes (y, x)."""
+    """Where the projective map with the rows of m takes (y, x); null on the horizon."""
     d = m[6] * y + m[7] * x + m[8]
-    return [(m[0] * y + m[1] * x + m[2]) / d, (m[3] * y + m[4] * x + m[5]) / d]
+    return [F.try_divide(m[0] * y + m[1] * x + m[2], d), F.try_divide(m[3] * y + m[4] * x + m[5], d)]
 
 
 def warped(df: DataFrame, h: int, w: int, m: Sequence[float]) -> DataFrame:
@@ -205,12 +206,16 @@ def window_histograms(df: DataFrame, h: int, w: int, edges: Sequence[float], rad
     return each.where(F.col("r").between(0, h - 1) & F.col("c").between(0, w - 1))
 
 
-def moments(df: DataFrame) -> DataFrame:
-    """One row: weight, mean and covariance of the places, weighed by v."""
-    r, c, v = F.col("r"), F.col("c"), F.col("v")
-    s = df.agg(*(F.sum(x * v).alias(n) for n, x in (("s", F.lit(1.0)), ("r", r), ("c", c), ("rr", r * r), ("cc", c * c), ("rc", r * c))))
-    m = lambda n: F.col(n) / F.col("s")
-    return s.select(F.col("s").alias("weight"), m("r").alias("mr"), m("c").alias("mc"), (m("rr") - m("r") * m("r")).alias("vr"), (m("cc") - m("c") * m("c")).alias("vc"), (m("rc") - m("r") * m("c")).alias("vrc"))
+def moments(df: DataFrame, symmetric: bool = False) -> DataFrame:
+    """One row: weight, mean and covariance of the places, weighed by the size of v; symmetric: one
+    variance for both axes. Without any weight all are 0."""
+    r, c, v = F.col("r"), F.col("c"), F.abs("v")
+    s = df.agg(*(F.coalesce(F.sum(x * v), F.lit(0.0)).alias(n) for n, x in (("s", F.lit(1.0)), ("r", r), ("c", c), ("rr", r * r), ("cc", c * c), ("rc", r * c))))
+    m = lambda n: F.col(n) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))
+    vr, vc, vrc = m("rr") - m("r") * m("r"), m("cc") - m("c") * m("c"), m("rc") - m("r") * m("c")
+    if symmetric:
+        vr, vc, vrc = (vr + vc) / 2, (vr + vc) / 2, F.lit(0.0)
+    return s.select(F.col("s").alias("weight"), m("r").alias("mr"), m("c").alias("mc"), vr.alias("vr"), vc.alias("vc"), vrc.alias("vrc"))
 
 
 def dense(points: DataFrame, h: int, w: int, fill: float = 0.0) -> DataFrame:
@@ -226,23 +231,69 @@ def blended(one: DataFrame, two: DataFrame) -> DataFrame:
     return both.select("r", "c", F.when(total != 0, (F.col("m") * F.col("v") + F.col("m2") * F.col("v2")) / total).alias("v"))
 
 
-def scaled_field(df: DataFrame, src: tuple[int, int], new: tuple[int, int], to: tuple[int, int], patch: int) -> DataFrame:
-    """A field (y, x, ty, tx) for a target and source of other sizes: places repeat the nearest old one,
-    offsets scale and stay where a patch fits. src, new: old and new source sizes; to: (old, new) rows
-    of the target as pairs ((h, w), (h2, w2))."""
-    (h, w), (h2, w2) = to
-    near = lambda i, n, m: F.least(F.floor((F.col(i) + 0.5) * n / m), F.lit(n - 1)).cast("int")
-    at = lattice(df, h2, w2).select(F.col("r").alias("y2"), F.col("c").alias("x2"), near("r", h, h2).alias("y"), near("c", w, w2).alias("x"))
+def combined(one: DataFrame, two: DataFrame, strongest: bool = False) -> DataFrame:
+    """(r, c, v): of two images (r, c, v, m), v an array of five channels and more, at each cell the one whose
+    last two of five channels, its gradient, are longer times the mask m (else the second); then channels
+    2 and 3, and unless strongest 4 and 5, are means weighed by the masks, null where both weigh nothing."""
+    both = one.join(two.select("r", "c", F.col("v").alias("v2"), F.col("m").alias("m2")), ["r", "c"])
+    at = lambda v, i: F.get(v, F.lit(i))
+    power = lambda v, m: F.col(m) * (at(v, 3) * at(v, 3) + at(v, 4) * at(v, 4))
+    base = F.when(power("v", "m") > power("v2", "m2"), F.col("v")).otherwise(F.col("v2"))
+    mixed = F.zip_with("v", "v2", lambda a, b: F.try_divide(F.col("m") * a + F.col("m2") * b, F.col("m") + F.col("m2")))
+    means = [1, 2] if strongest else [1, 2, 3, 4]
+    return both.select("r", "c", F.transform(base, lambda x, i: F.when(i.isin(means), F.get(mixed, i)).otherwise(x)).alias("v"))
+
+
+def _taps(n: int, m: int) -> list[tuple[int, int, float]]:
+    """(output, input, weight) to take n cells to m by linear interpolation; downwards the triangle is as wide
+    as an output cell. Cells beyond the border mirror those inside."""
+    scale = m / n
+    wide = max(1.0, 1 / scale)
+    out: dict[tuple[int, int], float] = {}
+    for i in range(m):
+        u = (i + 0.5) / scale - 0.5
+        near = range(math.floor(u - wide), math.ceil(u + wide) + 1)
+        weight = {j: max(0.0, 1 - abs(u - j) / wide) for j in near}
+        for j, k in weight.items():
+            if k > 0:
+                j = j % (2 * n)
+                j = j if j < n else 2 * n - 1 - j
+                out[i, j] = out.get((i, j), 0.0) + k / sum(weight.values())
+    return [(i, j, k) for (i, j), k in out.items()]
+
+
+def scaled_field(df: DataFrame, src: tuple[int, int], new: tuple[int, int], field: tuple[int, int], target: tuple[int, int], patch: int, scales: tuple[float, float] | None = None) -> DataFrame:
+    """A field (y, x, ty, tx) of patches for a target and source of other sizes. The field repeats its last
+    row and column patch - 1 times, is taken to the new target's size by linear interpolation and loses the last
+    patch - 1 rows and columns again; offsets scale with the source (src to new) and stay where a patch fits.
+
+    scales: least and largest size; the field then has angle, sy and sx as well, of which sy and sx are
+    brought into these bounds, with their sign.
+    """
+    more = ["angle", "sy", "sx"] if scales else []
+    names = ["ty", "tx", *more]
+    spark, extra = df.sparkSession, patch - 1
+    (h, w), (h2, w2) = field, target
+    at = lattice(df, h + extra, w + extra).select("r", "c", F.least("r", F.lit(h - 1)).alias("y"), F.least("c", F.lit(w - 1)).alias("x"))
+    full = at.join(df, ["y", "x"]).select("r", "c", *names)
+    rows = spark.createDataFrame([t for t in _taps(h + extra, h2) if t[0] < h2 - extra], "r2 int, r int, a double")
+    cols = spark.createDataFrame([t for t in _taps(w + extra, w2) if t[0] < w2 - extra], "c2 int, c int, b double")
+    half = full.join(rows, "r").groupBy("r2", "c").agg(*(F.sum(F.col(n) * F.col("a")).alias(n) for n in names))
+    made = half.join(cols, "c").groupBy("r2", "c2").agg(*(F.sum(F.col(n) * F.col("b")).alias(n) for n in names))
     clip = lambda v, most: F.least(F.greatest(v, F.lit(0.0)), F.lit(float(most)))
-    both = at.join(df, ["y", "x"])
-    return both.select(F.col("y2").alias("y"), F.col("x2").alias("x"), clip(F.col("ty") * (new[0] / src[0]), new[0] - patch).alias("ty"), clip(F.col("tx") * (new[1] / src[1]), new[1] - patch).alias("tx"))
+    out = [clip(F.col(n) * (new[i] / src[i]), new[i] - patch).alias(n) for i, n in enumerate(("ty", "tx"))]
+    if scales:
+        bound = lambda v: F.signum(v) * F.least(F.greatest(F.abs(v), F.lit(scales[0])), F.lit(scales[1]))
+        out += [F.col("angle"), bound(F.col("sy")).alias("sy"), bound(F.col("sx")).alias("sx")]
+    return made.select(F.col("r2").alias("y"), F.col("c2").alias("x"), *out)
 
 
-def differences(df: DataFrame, h: int, w: int) -> DataFrame:
-    """(axis, row, col, value): entries of the matrices of forward differences along rows ("y") and
-    columns ("x"), over cells numbered column by column."""
+def differences(df: DataFrame, h: int, w: int, mask: DataFrame | None = None) -> DataFrame:
+    """(axis, row, col, value): entries of the matrices that take each cell less the next one along columns ("x")
+    and rows ("y"), over cells numbered column by column; times the mask (r, c, m) at the cell. Zeros aren't given."""
     at = lattice(df, h, w)
+    at = at.join(mask.select("r", "c", "m"), ["r", "c"]) if mask is not None else at.withColumn("m", F.lit(1.0))
     me = (F.col("c") * h + F.col("r")).cast("long")
-    e = F.array(*(F.struct(F.lit(a).alias("axis"), me.alias("row"), (me + step).alias("col"), F.lit(v).alias("value")) for a, s in (("x", h), ("y", 1)) for step, v in ((0, -1.0), (s, 1.0))))
+    e = F.array(*(F.struct(F.lit(a).alias("axis"), me.alias("row"), (me + step).alias("col"), (v * F.col("m")).alias("value")) for a, s in (("x", h), ("y", 1)) for step, v in ((0, 1.0), (s, -1.0))))
     out = at.select("r", "c", F.explode(e).alias("e")).where(((F.col("e.axis") == "x") & (F.col("c") < w - 1)) | ((F.col("e.axis") == "y") & (F.col("r") < h - 1)))
-    return out.select("e.axis", "e.row", "e.col", "e.value")
+    return out.select("e.axis", "e.row", "e.col", "e.value").where("value <> 0")

@@ -83,6 +83,18 @@ evg AS (SELECT CAST(hour(ts) AS INT) AS r, CAST(user_id % 32 AS INT) AS c, count
 grid AS (SELECT full_grid.r, full_grid.c, coalesce(evg.v, 0) AS v FROM full_grid LEFT JOIN evg USING (r, c))"""
 
 
+def images(spark: SparkSession, d: str) -> DataFrame:
+    """(img, h, w, x): prices of 1024 orders each as an image of 32 x 32; missing orders are 0."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") / 500000).alias("v"))
+    per = o.groupBy(F.floor(F.col("k") / 1024).alias("img")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("k") % 1024).cast("int").alias("p"), "v"))).alias("m"))
+    x = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda p: F.coalesce(F.try_element_at("m", p), F.lit(0.0)))
+    return per.select("img", F.lit(32).alias("h"), F.lit(32).alias("w"), x.alias("x"))
+
+
+IMAGES = """ord AS (SELECT o_orderkey AS k, o_totalprice / 500000 AS v FROM orders), img AS (SELECT DISTINCT k // 1024 AS img FROM ord),
+px AS (SELECT img, p // 32 AS y, p % 32 AS x, coalesce(v, 0.0)::DOUBLE AS v FROM img CROSS JOIN range(1024) t(p) LEFT JOIN ord ON k = img * 1024 + p)"""
+
+
 def weighted(spark: SparkSession, d: str) -> DataFrame:
     """(g, x, w)"""
     return table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("w"))

@@ -30,12 +30,29 @@ def gradient_forward(spark, d):
     return grid.forward_difference(I.count_grid(spark, d)).select("r", "c", r6("gx").alias("gx"), r6("gy").alias("gy"))
 
 
-@query("box_filter", f"""{_G}, a AS (SELECT r, c, avg(v) OVER (PARTITION BY r ORDER BY c ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM grid)
-SELECT r, c, round(avg(v) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS v FROM a""")
+_MIRROR = lambda i, n: f"CASE WHEN {i} < 0 THEN -1 - ({i}) WHEN {i} >= {n} THEN 2 * {n} - 1 - ({i}) ELSE {i} END"
+
+
+def _mirrored(weights: str) -> str:
+    """weights: rows (i, w) of a separable stencil."""
+    return f"{_G}, w AS (SELECT i, w::DOUBLE AS w FROM ({weights}) t(i, w)) SELECT a.r, a.c, round(sum(b.v * x.w * y.w), 6) AS v FROM grid a, w x, w y JOIN grid b ON b.r = {_MIRROR('a.r + x.i', 24)} AND b.c = {_MIRROR('a.c + y.i', 32)} GROUP BY 1, 2"
+
+
+@query("box_filter", _mirrored("SELECT i, 0.2 FROM range(-2, 3) s(i)"))
 def box_filter(spark, d):
     return grid.box_filter(I.count_grid(spark, d), 2).select("r", "c", r6("v").alias("v"))
 
 
+@query("box_filter_sampled", f"SELECT CAST((r - 1) // 3 AS INT) AS r, CAST((c - 1) // 3 AS INT) AS c, v FROM ({_mirrored('SELECT i, 1 / 7.0::DOUBLE FROM range(-3, 4) s(i)')}) WHERE r % 3 = 1 AND c % 3 = 1 AND c < 30")
+def box_filter_sampled(spark, d):
+    return grid.sampled(grid.box_filter(I.count_grid(spark, d), 3), 24, 32, 3).select("r", "c", r6("v").alias("v"))
+
+
+@query("triangle_filter_wide", _mirrored("SELECT i, (4 - abs(i)) / 16.0::DOUBLE FROM range(-3, 4) s(i)"))
+def triangle_filter_wide(spark, d):
+    return grid.triangle_filter(I.count_grid(spark, d), 3).select("r", "c", r6("v").alias("v"))
+
+
 @query("max_filter", f"{_G} SELECT a.r, a.c, max(b.v) AS v FROM grid a JOIN grid b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY 1, 2")
 def max_filter(spark, d):
     return grid.max_filter(I.count_grid(spark, d), 1)

@@ -181,12 +181,13 @@ def aib_tree(spark, d):
     return aib.tree(n)[0]
 
 
-_SYS = "WITH s AS (SELECT event_id AS id, (event_id % 7 + 1)::DOUBLE AS a, (event_id % 5)::DOUBLE AS b, (event_id % 3)::DOUBLE AS c, (event_id % 11 + 9)::DOUBLE AS d, value AS p, (user_id % 10)::DOUBLE AS q FROM events)"
+# an irrational factor, as short decimals end in ties of the last digit shown
+_SYS = "WITH s AS (SELECT event_id AS id, (event_id % 7 + 1)::DOUBLE AS a, (event_id % 5)::DOUBLE AS b, (event_id % 3)::DOUBLE AS c, (event_id % 11 + 9)::DOUBLE AS d, value * sqrt(2) AS p, (user_id % 10)::DOUBLE AS q FROM events)"
 
 
 def _systems(spark, d):
     e = F.col("event_id")
-    return I.table(spark, d, "events").select(e.alias("id"), *((e % m + x).cast("double").alias(n) for n, m, x in (("a", 7, 1), ("b", 5, 0), ("c", 3, 0), ("d", 11, 9))), F.col("value").alias("p"), (F.col("user_id") % 10).cast("double").alias("q"))
+    return I.table(spark, d, "events").select(e.alias("id"), *((e % m + x).cast("double").alias(n) for n, m, x in (("a", 7, 1), ("b", 5, 0), ("c", 3, 0), ("d", 11, 9))), (F.col("value") * F.sqrt(F.lit(2.0))).alias("p"), (F.col("user_id") % 10).cast("double").alias("q"))
 
 
 @query("solve2", f"{_SYS} SELECT id, round((p * d - b * q) / nullif(a * d - b * c, 0), 6) AS x, round((a * q - p * c) / nullif(a * d - b * c, 0), 6) AS y FROM s")

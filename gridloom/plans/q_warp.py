@@ -205,17 +205,71 @@ def blend(spark, d):
     return _out(warps.blended(g.withColumn("m", (F.col("r") % 3).cast("double")), two))
 
 
-@query("scale_field", f"{_G}, o AS (SELECT i // 48 AS y, i % 48 AS x FROM range(36 * 48) t(i)) SELECT CAST(o.y AS INT) AS y, CAST(o.x AS INT) AS x, round(least(29, greatest(0, v * 1.6)), 6) AS ty, round(least(37, greatest(0, (31 - v) * 1.25)), 6) AS tx FROM o JOIN grid ON r = CAST(floor((o.y + 0.5) * 24 / 36.0::DOUBLE) AS INT) AND c = CAST(floor((o.x + 0.5) * 32 / 48.0::DOUBLE) AS INT)")
+def _tap(i: str, n: int, m: int) -> str:
+    """(o, i, k): weights of n cells for each of m by linear interpolation upwards."""
+    u = f"((o + 0.5::DOUBLE) * {n} / {m} - 0.5)"
+    return f"SELECT o, greatest(0, least({n - 1}, CAST(floor({u}) AS INT) + e)) AS {i}, CASE e WHEN 0 THEN 1 - ({u} - floor({u})) ELSE {u} - floor({u}) END AS k FROM range({m}) t(o), range(2) s(e)"
+
+
+_FIELD = f"""{_G}, a AS ({_tap("r", 26, 36)}), b AS ({_tap("c", 34, 48)}), z AS (SELECT a.o AS y, b.o AS x, sum(a.k * b.k * v) AS ty, sum(a.k * b.k * (31 - v)) AS tx, sum(a.k * b.k * (v / 10 - 1)) AS s
+FROM a, b JOIN grid g ON g.r = least(a.r, 23) AND g.c = least(b.c, 31) WHERE a.o < 34 AND b.o < 46 GROUP BY ALL)
+SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(least(29, greatest(0, ty * 1.6)), 6) AS ty, round(least(37, greatest(0, tx * 1.25)), 6) AS tx"""
+
+
+def _old_field(spark, d):
+    return _grid(spark, d).select(F.col("r").alias("y"), F.col("c").alias("x"), F.col("v").alias("ty"), (31 - F.col("v")).alias("tx"), F.lit(0.0).alias("angle"), (F.col("v") / 10 - 1).alias("sy"), (1 - F.col("v") / 10).alias("sx"))
+
+
+@query("scale_field", f"{_FIELD} FROM z")
 def scale_field(spark, d):
-    f = _grid(spark, d).select(F.col("r").alias("y"), F.col("c").alias("x"), F.col("v").alias("ty"), (31 - F.col("v")).alias("tx"))
-    return warps.scaled_field(f, (20, 32), (32, 40), ((24, 32), (36, 48)), 3).select("y", "x", r6("ty").alias("ty"), r6("tx").alias("tx"))
+    return warps.scaled_field(_old_field(spark, d), (20, 32), (32, 40), (24, 32), (36, 48), 3).select("y", "x", r6("ty").alias("ty"), r6("tx").alias("tx"))
 
 
-@query("difference_matrix", f"{_G} SELECT axis, c * 24 + r AS row, c * 24 + r + step AS col, value FROM full_grid, (VALUES ('x', 0, -1.0::DOUBLE), ('x', 24, 1.0::DOUBLE), ('y', 0, -1.0::DOUBLE), ('y', 1, 1.0::DOUBLE)) t(axis, step, value) WHERE (axis = 'x' AND c < 31) OR (axis = 'y' AND r < 23)")
+@query("scale_field_sizes", f"{_FIELD}, round(sign(s) * greatest(0.5, least(2, abs(s))), 6) + 0.0 AS sy, round(-sign(s) * greatest(0.5, least(2, abs(s))), 6) + 0.0 AS sx FROM z WHERE abs(s) > 1e-9")
+def scale_field_sizes(spark, d):
+    f = warps.scaled_field(_old_field(spark, d), (20, 32), (32, 40), (24, 32), (36, 48), 3, (0.5, 2.0))
+    # a size of 0 has no sign, so rounding decides
+    return f.where("abs(sy) > 0").select("y", "x", r6("ty").alias("ty"), r6("tx").alias("tx"), (r6("sy") + 0.0).alias("sy"), (r6("sx") + 0.0).alias("sx"))
+
+
+@query("difference_matrix", f"{_G} SELECT axis, c * 24 + r AS row, c * 24 + r + step AS col, value FROM full_grid, (VALUES ('x', 0, 1.0::DOUBLE), ('x', 24, -1.0::DOUBLE), ('y', 0, 1.0::DOUBLE), ('y', 1, -1.0::DOUBLE)) t(axis, step, value) WHERE (axis = 'x' AND c < 31) OR (axis = 'y' AND r < 23)")
 def difference_matrix(spark, d):
     return warps.differences(_grid(spark, d), H, W)
 
 
+@query("difference_matrix_masked", f"{_G} SELECT axis, c * 24 + r AS row, c * 24 + r + step AS col, value * (r % 3) AS value FROM full_grid, (VALUES ('x', 0, 1.0::DOUBLE), ('x', 24, -1.0::DOUBLE), ('y', 0, 1.0::DOUBLE), ('y', 1, -1.0::DOUBLE)) t(axis, step, value) WHERE ((axis = 'x' AND c < 31) OR (axis = 'y' AND r < 23)) AND r % 3 > 0")
+def difference_matrix_masked(spark, d):
+    g = _grid(spark, d)
+    return warps.differences(g, H, W, g.withColumn("m", (F.col("r") % 3).cast("double")))
+
+
+_TWO = f"{_G}, w AS (SELECT r, c, [v, v + 1, v * 2, r - 10, c - 5.5] AS a, (1 + r % 3)::DOUBLE AS m, [-v, v - 1, v * 3, c - 12, r - 3.25] AS b, (c % 2)::DOUBLE AS n FROM grid), x AS (SELECT *, CASE WHEN m * (a[4] * a[4] + a[5] * a[5]) > n * (b[4] * b[4] + b[5] * b[5]) THEN a ELSE b END AS p FROM w)"
+_MEAN = lambda i: f"round((m * a[{i}] + n * b[{i}]) / (m + n), 6)"
+
+
+def _combined(spark, d, strongest):
+    g = _grid(spark, d)
+    r, c, v = (F.col(n).cast("double") for n in "rcv")
+    one = g.select("r", "c", F.array(v, v + 1, v * 2, r - 10, c - 5.5).alias("v"), (1 + F.col("r") % 3).cast("double").alias("m"))
+    two = g.select("r", "c", F.array(-v, v - 1, v * 3, c - 12, r - 3.25).alias("v"), (F.col("c") % 2).cast("double").alias("m"))
+    return warps.combined(one, two, strongest).select("r", "c", *((r6(F.get("v", F.lit(i))) + 0.0).alias(f"v{i}") for i in range(5)))
+
+
+@query("combine_means", f"{_TWO} SELECT r, c, round(p[1], 6) + 0.0 AS v0, {_MEAN(2)} + 0.0 AS v1, {_MEAN(3)} + 0.0 AS v2, {_MEAN(4)} + 0.0 AS v3, {_MEAN(5)} + 0.0 AS v4 FROM x")
+def combine_means(spark, d):
+    return _combined(spark, d, False)
+
+
+@query("combine_strongest", f"{_TWO} SELECT r, c, round(p[1], 6) + 0.0 AS v0, {_MEAN(2)} + 0.0 AS v1, {_MEAN(3)} + 0.0 AS v2, round(p[4], 6) + 0.0 AS v3, round(p[5], 6) + 0.0 AS v4 FROM x")
+def combine_strongest(spark, d):
+    return _combined(spark, d, True)
+
+
+@query("to_size_odd", f"{_G} SELECT CAST(i // 35 AS INT) AS r, CAST(i % 35 AS INT) AS c, coalesce(v, 0) AS v FROM range(11 * 35) t(i) LEFT JOIN grid ON r = i // 35 + 7 AND c = i % 35 - 1")
+def to_size_odd(spark, d):
+    return _out(warps.to_size(_grid(spark, d), H, W, 11, 35))
+
+
 _FR = "f AS (SELECT event_id AS id, (event_id % 50)::DOUBLE AS x, (user_id % 40)::DOUBLE AS y, (1 + event_id % 9)::DOUBLE AS a, value / 100 AS b FROM events)"
 
 
