@@ -50,7 +50,8 @@ def halved(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def directions(gx: np.ndarray, gy: np.ndarray, k: int, bilinear: bool) -> list[tuple[np.ndarray, np.ndarray]]:
     """(direction out of 2 k, weight) of gradients: the nearest, or the two next ones by their distance."""
-    at = np.arctan2(gy, gx) % (2 * np.pi) * (k / np.pi)
+    at = np.arctan2(gy, gx) * (k / np.pi)
+    at = np.where(at < 0, at + 2 * k, at)
     near = np.floor(at + 0.5)
     if not bilinear:
         return [(near.astype(np.int64) % (2 * k), np.ones_like(at))]
@@ -68,14 +69,20 @@ def pooled(mass: Sequence[tuple[np.ndarray, np.ndarray]], planes: int, cell: int
         keep = np.flatnonzero((at >= a - 1) & (at < b))
         axes.append((keep, at[keep] - (a - 1), h[keep] - at[keep], b - a + 2))
     (ys, cy, wy, ny), (xs, cx, wx, nx) = axes
-    out = np.zeros(planes * ny * nx)
+    if not len(ys) or not len(xs):
+        return np.zeros((planes, ny - 2, nx - 2))
+    part = slice(ys[0], ys[-1] + 1), slice(xs[0], xs[-1] + 1)
+    lines = np.zeros(len(ys) * planes * nx)  # each line's weights by plane and column of cells
     for plane, weight in mass:
-        base = (plane[np.ix_(ys, xs)] * ny + cy[:, None]) * nx + cx
-        w = weight[np.ix_(ys, xs)]
-        for dy, fy in ((0, 1 - wy), (1, wy)):
-            for dx, fx in ((0, 1 - wx), (1, wx)):
-                out += np.bincount((base + dy * nx + dx).reshape(-1), (w * fy[:, None] * fx).reshape(-1), len(out))
-    return out.reshape(planes, ny, nx)[:, 1:-1, 1:-1]
+        at = ((np.arange(len(ys))[:, None] * planes + plane[part]) * nx + cx).reshape(-1)
+        w = weight[part]
+        lines += np.bincount(at, (w * (1 - wx)).reshape(-1), len(lines))
+        lines += np.bincount(at + 1, (w * wx).reshape(-1), len(lines))
+    down = np.zeros((ny, len(ys)))
+    down[cy, np.arange(len(ys))] = 1 - wy
+    down[cy + 1, np.arange(len(ys))] = wy
+    out = (down @ lines.reshape(len(ys), planes * nx)).reshape(ny, planes, nx)
+    return out.transpose(1, 0, 2)[:, 1:-1, 1:-1]
 
 
 def normalised(hist: np.ndarray, variant: str) -> np.ndarray:

@@ -127,7 +127,8 @@ def build(base: DataFrame, trees: int = 1, cells: int | None = None, method: str
     cells = min(MOST_CELLS, cells or max(1, -(-total // block)))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 30))
     part = rows if total <= sample else rows.where(draw < int((1 << 30) * sample * 0.9 / total)).limit(sample)
-    found = np.array([r.x for r in part.select("id", "x").collect()]).reshape(-1, width)
+    found = [r.x for r in part.select("x").collect()]  # at most ``sample`` rows
+    found = np.array(found, np.float64).reshape(len(found), width)
     found = found[np.lexsort(found.T[::-1])] if len(found) else found  # whatever order rows came in
     tops = tuple(grow(found, cells, method, np.random.default_rng([seed, t])) for t in range(trees))
 
@@ -147,14 +148,13 @@ def build(base: DataFrame, trees: int = 1, cells: int | None = None, method: str
     def pack(table: pa.Table) -> pa.Table:
         x = matrix(table["x"].combine_chunks(), width)
         order, ends = _leaves(x, leaf)
-        x, starts = x[order], np.append(0, ends[:-1])
+        x, starts = x[order], np.array([0, *ends[:-1]])
         low, high = (f.reduceat(x, starts, axis=0) for f in (np.minimum, np.maximum))
         one = lambda v: pa.array([v.reshape(-1)])
         return pa.table({"tree": table["tree"][:1], "cell": table["cell"][:1], "n": pa.array([len(x)], pa.int32()), "ids": pa.array([np.asarray(table["id"])[order]]), "x": one(x), "ends": pa.array([ends], pa.list_(pa.int32())), "low": one(low), "high": one(high)})
 
     blocks = cut_lineage(parted.groupBy("tree", "cell", "part").applyInArrow(pack, "tree int, cell int, n int, ids array<bigint>, x array<double>, ends array<int>, low array<double>, high array<double>"))
-    inside = lambda c, f: f(F.transform(F.sequence(F.lit(0), F.size(c) - 1, F.lit(max(width, 1))), lambda i: F.slice(c, i + 1, width)))
-    boxes = _boxes(blocks, width, inside) if total else {}
+    boxes = _boxes(blocks, width) if total else {}
     low, high, sizes = [], [], []
     for t, top in enumerate(tops):
         n = int(top.cell.max()) + 1
@@ -165,7 +165,7 @@ def build(base: DataFrame, trees: int = 1, cells: int | None = None, method: str
     return Index(width, tops, tuple(low), tuple(high), tuple(sizes), blocks)
 
 
-def _boxes(blocks: DataFrame, width: int, inside) -> dict:
+def _boxes(blocks: DataFrame, width: int) -> dict:
     """Box and size of each cell, from its blocks' leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ r6 = lambda c: F.round(c, 6)
 # no SQL: five levels of smoothing an octave; tests hold it against plain sums and synthetic fields
 @query("sift_points")
 def sift_points(spark, d):
-    made = sift.sift(I.images(spark, d), sift.Options(peak=0.01))
+    made = sift.sift(I.images(spark, d), sift.Options(first=-2, peak=0.001))
     return made.select("img", r6("x").alias("x"), r6("y").alias("y"), r6("scale").alias("scale"), r6("angle").alias("angle"), "octave", "level")
 
 
@@ -84,7 +84,7 @@ def _timed(spark, d):
     return I.table(spark, d, "events").select(F.col("user_id").cast("bigint").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "value")
 
 
-@query("stateful_sessions", """WITH e AS (SELECT user_id::BIGINT AS key, epoch_ms(ts) AS t, value FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY key ORDER BY t) < 1800000 THEN 0 ELSE 1 END AS new FROM e),
+@query("stateful_sessions", """WITH e AS (SELECT user_id::BIGINT AS key, epoch_us(ts) // 1000 AS t, value FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY key ORDER BY t) < 1800000 THEN 0 ELSE 1 END AS new FROM e),
 s AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY t RANGE UNBOUNDED PRECEDING) AS part FROM g)
 SELECT key, min(t)::BIGINT AS start, max(t)::BIGINT AS stop, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM s GROUP BY key, part""")
 def stateful_sessions(spark, d):

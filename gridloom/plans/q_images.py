@@ -19,8 +19,8 @@ hi AS (SELECT img, cy, cx, o, sum(m) AS h FROM co WHERE cy BETWEEN 0 AND 3 AND c
 fu AS (SELECT img, cy, cx, o, coalesce(h, 0.0)::DOUBLE AS h FROM img CROSS JOIN range(4) a(cy) CROSS JOIN range(4) b(cx) CROSS JOIN range(18) c(o) LEFT JOIN hi USING (img, cy, cx, o)),
 fl AS (SELECT a.img, a.cy, a.cx, a.o, a.h + b.h AS h FROM fu a JOIN fu b ON a.img = b.img AND a.cy = b.cy AND a.cx = b.cx AND b.o = a.o + 9),
 no AS (SELECT img, cy, cx, sum(h * h) AS n FROM fl GROUP BY ALL),
-fa AS (SELECT c.img, c.cy, c.cx, by * 2 + bx AS blk, 1 / sqrt(sum(n.n) + 1e-4) AS f FROM (SELECT DISTINCT img, cy, cx FROM no) c CROSS JOIN range(2) a(by) CROSS JOIN range(2) b(bx) CROSS JOIN range(2) d(ey) CROSS JOIN range(2) e(ex)
-JOIN no n ON n.img = c.img AND n.cy = greatest(0, least(3, c.cy + by - 1 + ey)) AND n.cx = greatest(0, least(3, c.cx + bx - 1 + ex)) GROUP BY ALL),
+fa AS (SELECT c.img, c.cy, c.cx, ay * 2 + ax AS blk, 1 / sqrt(sum(n.n) + 1e-4) AS f FROM (SELECT DISTINCT img, cy, cx FROM no) c CROSS JOIN range(2) a(ay) CROSS JOIN range(2) b(ax) CROSS JOIN range(2) d(ey) CROSS JOIN range(2) e(ex)
+JOIN no n ON n.img = c.img AND n.cy = greatest(0, least(3, c.cy + ay - 1 + ey)) AND n.cx = greatest(0, least(3, c.cx + ax - 1 + ex)) GROUP BY ALL),
 di AS (SELECT img, cy, cx, o, blk, least(0.2, f * h) AS v FROM fu JOIN fa USING (img, cy, cx)), un AS (SELECT img, cy, cx, o, blk, least(0.2, f * h) AS v FROM fl JOIN fa USING (img, cy, cx))"""
 
 
@@ -56,7 +56,7 @@ _FHOG = f"""{I.IMAGES}, gr AS (SELECT img, y, x, (coalesce(lead(v) OVER r, v) -
 FROM px WINDOW r AS (PARTITION BY img, y ORDER BY x), c AS (PARTITION BY img, x ORDER BY y)),
 hy AS (SELECT img, greatest(sqrt(gx * gx + gy * gy), 1e-10) / 64 AS m, CAST(floor(CASE WHEN atan2(gy, gx) < 0 THEN atan2(gy, gx) + 2 * pi() ELSE atan2(gy, gx) END * 9 / pi() + 0.5) AS INT) % 18 AS o, (y + 0.5::DOUBLE) / 8 - 0.5 AS hy, (x + 0.5::DOUBLE) / 8 - 0.5 AS hx FROM gr),
 co AS (SELECT img, o, CAST(floor(hy) AS INT) + dy AS cy, CAST(floor(hx) AS INT) + dx AS cx, m * (CASE dy WHEN 0 THEN 1 - (hy - floor(hy)) ELSE hy - floor(hy) END) * (CASE dx WHEN 0 THEN 1 - (hx - floor(hx)) ELSE hx - floor(hx) END) AS m FROM hy, range(2) a(dy), range(2) b(dx)),
-hi AS (SELECT img, cy, cx, o, sum(m) * (CASE WHEN cy IN (0, 3) THEN 8 / 7.0::DOUBLE ELSE 1 END) * (CASE WHEN cx IN (0, 3) THEN 8 / 7.0::DOUBLE ELSE 1 END) AS h FROM co WHERE cy BETWEEN 0 AND 3 AND cx BETWEEN 0 AND 3 GROUP BY ALL),
+hi AS (SELECT img, cy, cx, o, sum(m * (CASE WHEN cy IN (0, 3) THEN 8 / 7.0::DOUBLE ELSE 1 END) * (CASE WHEN cx IN (0, 3) THEN 8 / 7.0::DOUBLE ELSE 1 END)) AS h FROM co WHERE cy BETWEEN 0 AND 3 AND cx BETWEEN 0 AND 3 GROUP BY ALL),
 fu AS (SELECT img, cy, cx, o, coalesce(h, 0.0)::DOUBLE AS h FROM img CROSS JOIN range(4) a(cy) CROSS JOIN range(4) b(cx) CROSS JOIN range(18) c(o) LEFT JOIN hi USING (img, cy, cx, o)),
 fl AS (SELECT a.img, a.cy, a.cx, a.o, a.h + b.h AS h FROM fu a JOIN fu b ON a.img = b.img AND a.cy = b.cy AND a.cx = b.cx AND b.o = a.o + 9),
 no AS (SELECT img, cy, cx, sum(h * h) AS n FROM fl GROUP BY ALL),
@@ -79,10 +79,10 @@ po AS (SELECT img, y, x, sqrt(gx * gx + gy * gy) AS m, CASE WHEN atan2(gy, gx) <
 pl AS (SELECT img, y, x, (CAST(floor(a) AS INT) + e) % 8 AS t, m * (CASE e WHEN 0 THEN 1 - (a - floor(a)) ELSE a - floor(a) END) AS m FROM po, range(2) q(e)),
 k AS (SELECT b, o, (1 - abs(o) / {size}.0::DOUBLE) * {f"avg({gauss}) OVER (PARTITION BY b)" if flat else gauss} AS k FROM range(4) p(b), range({1 - size}, {size}) q(o)),
 s AS (SELECT f * {step} AS f, b, o, k, greatest(0, least(31, f * {step} + b * {size} + o)) AS at FROM range({(32 - 3 * size - 1) // step + 1}) z(f), k),
-c1 AS (SELECT img, y, s.f AS fx, s.b AS bx, t, sum(m * k) AS m FROM pl JOIN s ON x = s.at GROUP BY ALL),
-c2 AS (SELECT img, s.f AS fy, s.b AS by, fx, bx, t, sum(m * k) AS v FROM c1 JOIN s ON y = s.at GROUP BY ALL),
+c1 AS (SELECT img, y, s.f AS fx, s.b AS ax, t, sum(m * k) AS m FROM pl JOIN s ON x = s.at GROUP BY ALL),
+c2 AS (SELECT img, s.f AS fy, s.b AS ay, fx, ax, t, sum(m * k) AS v FROM c1 JOIN s ON y = s.at GROUP BY ALL),
 nn AS (SELECT *, sum(v) OVER p / {(3 * size + 1) ** 2} AS norm, least(0.2, v / (sqrt(sum(v * v) OVER p) + 1.19209290e-07)) AS w FROM c2 WINDOW p AS (PARTITION BY img, fy, fx)),
-ds AS (SELECT img, fx + {1.5 * size}::DOUBLE AS x, fy + {1.5 * size}::DOUBLE AS y, norm, (by * 4 + bx) * 8 + t AS d, w / (sqrt(sum(w * w) OVER (PARTITION BY img, fy, fx)) + 1.19209290e-07) AS v FROM nn)"""
+ds AS (SELECT img, fx + {1.5 * size}::DOUBLE AS x, fy + {1.5 * size}::DOUBLE AS y, norm, (ay * 4 + ax) * 8 + t AS d, w / (sqrt(sum(w * w) OVER (PARTITION BY img, fy, fx)) + 1.19209290e-07) AS v FROM nn)"""
 
 
 _DENSE_OUT = "SELECT img, x, y, round(norm, 6) AS norm, CAST(d AS INT) AS d, round(v, 6) AS v FROM ds WHERE round(v, 6) > 0"

@@ -211,13 +211,14 @@ def _tap(i: str, n: int, m: int) -> str:
     return f"SELECT o, greatest(0, least({n - 1}, CAST(floor({u}) AS INT) + e)) AS {i}, CASE e WHEN 0 THEN 1 - ({u} - floor({u})) ELSE {u} - floor({u}) END AS k FROM range({m}) t(o), range(2) s(e)"
 
 
-_FIELD = f"""{_G}, a AS ({_tap("r", 26, 36)}), b AS ({_tap("c", 34, 48)}), z AS (SELECT a.o AS y, b.o AS x, sum(a.k * b.k * v) AS ty, sum(a.k * b.k * (31 - v)) AS tx, sum(a.k * b.k * (v / 10 - 1)) AS s
+_FIELD = f"""{_G}, a AS ({_tap("r", 26, 36)}), b AS ({_tap("c", 34, 48)}), z AS (SELECT a.o AS y, b.o AS x, sum(a.k * b.k * v) * sqrt(2) AS ty, sum(a.k * b.k * (31 - v)) * sqrt(2) AS tx, sum(a.k * b.k * (v / 10 - 1)) * sqrt(2) AS s
 FROM a, b JOIN grid g ON g.r = least(a.r, 23) AND g.c = least(b.c, 31) WHERE a.o < 34 AND b.o < 46 GROUP BY ALL)
 SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(least(29, greatest(0, ty * 1.6)), 6) AS ty, round(least(37, greatest(0, tx * 1.25)), 6) AS tx"""
 
 
 def _old_field(spark, d):
-    return _grid(spark, d).select(F.col("r").alias("y"), F.col("c").alias("x"), F.col("v").alias("ty"), (31 - F.col("v")).alias("tx"), F.lit(0.0).alias("angle"), (F.col("v") / 10 - 1).alias("sy"), (1 - F.col("v") / 10).alias("sx"))
+    k = F.sqrt(F.lit(2.0))  # no short decimals, which end in ties of the last digit shown
+    return _grid(spark, d).select(F.col("r").alias("y"), F.col("c").alias("x"), (k * F.col("v")).alias("ty"), (k * (31 - F.col("v"))).alias("tx"), F.lit(0.0).alias("angle"), (k * (F.col("v") / 10 - 1)).alias("sy"), (k * (1 - F.col("v") / 10)).alias("sx"))
 
 
 @query("scale_field", f"{_FIELD} FROM z")
