@@ -26,9 +26,9 @@ keys work like others; ties of counts are all best; an empty table gives no rows
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +36,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import documents, few_rows, importable, materialise, release
+from ._pretoken import BEYOND, pieces
 from ._text import BYTE_CODE, U, blocks, mix64, powers, separated, utf8
 from .bpe import byte_alphabet
+from .packing import KEPT_WORDS, ByteBPE
 
 #: Units that a task keeps; a unit counts once for each UNIT_BYTES bytes.
 KEPT_UNITS, UNIT_BYTES = 200_000, 64
 #: Transitions that a task keeps.
 KEPT_MOVES = 1_000_000
+#: Tokens of A up to which units go through the transducer side by side; longer ones go alone.
+ABREAST = 512
 #: Pairs of ids that are sent to every task.
 SENT_PAIRS = 2_000_000
 #: B's sign for a blank.
@@ -59,7 +63,7 @@ class Transducer:
     def restart(self) -> None:
         self.states: list[tuple[int, bytes]] = [(0, b"")]
         self.number: dict[tuple[int, bytes], int] = {(0, b""): 0}
-        self.moves: dict[tuple[int, int], int] = {}
+        self.moves: dict[int, int] = {}
 
     def state(self, side: int, residual: bytes) -> int:
         key = (side, residual) if residual else (0, b"")
@@ -81,7 +85,7 @@ class Transducer:
                 new = self.state(1 - side, spelt[len(residual) :])
             else:
                 new = -1
-        self.moves[state, token] = new
+        self.moves[state << 32 | token] = new
         return new
 
     def run(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
@@ -102,7 +106,7 @@ class Transducer:
                 token = b[j]
                 j += 1
                 links.append((a[i - 1], token))
-            new = get((state, token))
+            new = get(state << 32 | token)
             state = self.move(state, token) if new is None else new
             if state < 0:
                 raise ValueError("the tokens spell different bytes")
@@ -111,64 +115,209 @@ class Transducer:
                 from_a, from_b = i, j
         return groups, links
 
+    def abreast(self, a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """As :meth:`run` for many sequences in a row, all one step at a time: the group of each A and B token
+        (numbered within its sequence), and of the links the sequence, A token and B token, in their order."""
+        if len(self.moves) > KEPT_MOVES:
+            self.restart()
+        n = len(a_at) - 1
+        i, j, state, group = a_at[:-1].copy(), b_at[:-1].copy(), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        a_group, b_group = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        live = np.flatnonzero(a_at[1:] > a_at[:-1])
+        linked = []
+        while len(live):
+            now = state[live]
+            sides = np.fromiter((x[0] for x in self.states), np.int8, len(self.states))
+            from_b = (now > 0) & (sides[now] == 0)  # A leads, so B brings a token
+            one, two = live[~from_b], live[from_b]
+            token = np.empty(len(live), np.int64)
+            token[~from_b], token[from_b] = a[i[one]], b[j[two]]
+            a_group[i[one]], b_group[j[two]] = group[one], group[two]
+            i[one] += 1
+            j[two] += 1
+            with_link = live[now > 0]
+            linked.append((with_link, a[i[with_link] - 1], b[j[with_link] - 1]))
+            keys, back = np.unique(now << 32 | token, return_inverse=True)
+            get, move = self.moves.get, self.move
+            moved = [move(k >> 32, k & 0xFFFFFFFF) if (v := get(k)) is None else v for k in keys.tolist()]
+            if min(moved) < 0:
+                raise ValueError("the tokens spell different bytes")
+            state[live] = np.array(moved, np.int64)[back]
+            group[live] += state[live] == 0
+            live = live[(state[live] > 0) | (i[live] < a_at[live + 1])]
+        owner, left, right = (np.concatenate([x[k] for x in linked]) if linked else np.zeros(0, np.int64) for k in range(3))
+        order = np.argsort(owner, kind="stable")
+        return a_group, b_group, owner[order], left[order], right[order]
+
 
 def spelt(groups: list[tuple[list[int], list[int]]]) -> str:
     """a1,a2|b1;a3|b2,b3"""
     return ";".join([",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups])
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences in a row, and where each begins (one more than sequences)."""
+    at = np.zeros(len(ids) + 1, np.int64)
+    np.cumsum([len(x) for x in ids], out=at[1:])
+    return np.fromiter(chain.from_iterable(ids), np.int64, int(at[-1])), at
+
+
+def _picked(flat: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some sequences of those in a row, and where each begins."""
+    n = at[rows + 1] - at[rows]
+    to = np.concatenate(([0], np.cumsum(n)))
+    return flat[np.repeat(at[rows] - to[:-1], n) + np.arange(int(to[-1]))], to
+
+
+class PlainBPE(ByteBPE):
+    """The byte-level BPE for which strings of special tokens are plain text."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.full.encode_special_tokens = True
+
+    def flat(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (UTF-8) in a row, and where each text's begin."""
+        whole = b"".join(raws).decode()
+        odd = [k for k, r in enumerate(raws) if BEYOND.search(r.decode())] if BEYOND.search(whole) else []
+        clean = raws
+        if odd:
+            clean = list(raws)
+            for k in odd:
+                clean[k] = b""
+        offsets = np.zeros(len(raws) + 1, np.int64)
+        np.cumsum([len(r) for r in clean], out=offsets[1:])
+        buf, begin, end, hashes, first = pieces(np.frombuffer(b"".join(clean), np.uint8), offsets, blanks=True)
+        each, one, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.kept) + len(each) > KEPT_WORDS:
+            self.kept.clear()
+        names, kept, raw = each.tolist(), self.kept, buf.tobytes()
+        for h, a, b in zip(names, begin[one].tolist(), end[one].tolist(), strict=True):
+            if h not in kept:
+                kept[h] = self._word(raw[a:b])
+        words = [kept[h] for h in names]
+        at = np.concatenate(([0], np.cumsum([len(w) // 4 for w in words], dtype=np.int64)))
+        ids, to = _picked(np.frombuffer(b"".join(words), "<u4").astype(np.int64), at, back)
+        to = to[first]
+        if odd:
+            own = {k: np.array(self.full.encode(raws[k].decode(), add_special_tokens=False).ids, np.int64) for k in odd}
+            parts = [own[k] if k in own else ids[to[k] : to[k + 1]] for k in range(len(raws))]
+            ids, to = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+        return ids, to
+
+
+class Aligned:
+    """Rows of aligned texts or units: whether tokens spell them, numbers of A's and B's tokens and of groups,
+    the groups as text, and the codes of the links, row after row."""
+
+    def __init__(self):
+        self.fits, self.numbers, self.said = np.zeros(0, bool), np.zeros((0, 3), np.int64), []
+        self.links, self.at = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def add(self, other: "Aligned") -> None:
+        self.fits, self.numbers = np.concatenate((self.fits, other.fits)), np.concatenate((self.numbers, other.numbers))
+        self.said += other.said
+        self.at = np.concatenate((self.at, self.at[-1] + other.at[1:]))
+        self.links = np.concatenate((self.links, other.links))
+
+    def codes(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The links of rows, one after another, and how many each has."""
+        codes, to = _picked(self.links, self.at, rows)
+        return codes, np.diff(to)
+
+
 class Aligner:
     """Both tokenizers, the transducer, and the units met so far."""
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        self.a = PlainBPE(path_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         of_byte = {c: i for i, c in enumerate(byte_alphabet())}
-        names = {i: t for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        names = {i: t for t, i in self.a.full.get_vocab(with_added_tokens=True).items()}
         a_bytes = [bytes(of_byte[c] for c in names[i]) if all(c in of_byte for c in names.get(i, "")) else b"" for i in range(max(names) + 1)]
         b = self.b
         pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
         plain = [not (b.is_control(i) or b.is_unknown(i) or b.is_byte(i)) for i in range(len(pieces))]
         b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace(BLANK, " ").encode() if plain[i] else b"" for i, p in enumerate(pieces)]
         self.spell = a_bytes, b_bytes
+        self.length = tuple(np.array([len(x) for x in spell]) for spell in self.spell)
+        #: an id as it stands in the text of a group: before a token of its side, at the end of its side
+        self.shown = tuple((np.array([f"{i}," for i in range(len(spell))], object), np.array([f"{i}{end}" for i in range(len(spell))], object)) for spell, end in zip(self.spell, "|;", strict=True))
         #: no piece of B has a blank after another character, so that a blank begins a piece
         self.cut = not any(p.lstrip(BLANK).find(BLANK) >= 0 for p, k in zip(pieces, plain, strict=True) if k)
         self.width = len(b_bytes)
         self.transducer = Transducer(a_bytes, b_bytes)
-        self.kept: dict[int, tuple | None] = {}
-        self.room = KEPT_UNITS
-
-    def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """(A's ids of blank and text, B's ids of text) of each text; None: they don't spell it."""
-        a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        out: list = []
-        for t, *ids in zip(texts, a, b, strict=True):
-            raw = b" " + t.encode("utf-8", "replace")
-            same = all(b"".join([spell[i] for i in own]) == raw for own, spell in zip(ids, self.spell, strict=True))
-            out.append(tuple(ids) if same else None)
-        return out
-
-    def aligned(self, texts: list[str]) -> list[tuple | None]:
-        """(number of A's ids, of B's ids, of groups, groups as text, codes of the links) of each text."""
-        out = []
-        for ids in self.tokens(texts):
-            if ids is None:
-                out.append(None)
-                continue
-            groups, links = self.transducer.run(*ids)
-            pairs = np.array(links, np.int64).reshape(-1, 2)
-            out.append((len(ids[0]), len(ids[1]), len(groups), spelt(groups), pairs[:, 0] * self.width + pairs[:, 1]))
+        self.forget()
+
+    def forget(self) -> None:
+        self.row: dict[int, int] = {}
+        self.kept, self.room = Aligned(), KEPT_UNITS
+
+    def _spelling(self, raws: list[bytes], side: int, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the ids of each text spell it."""
+        sizes = np.array([len(r) for r in raws])
+        sums = np.concatenate(([0], np.cumsum(self.length[side][ids])))
+        fits = sums[at[1:]] - sums[at[:-1]] == sizes
+        spell = self.spell[side]
+        own = np.flatnonzero(fits)
+        # of texts of the right length all bytes are compared in a row
+        keep = np.repeat(fits, np.diff(at))
+        said = np.frombuffer(b"".join([spell[i] for i in ids[keep].tolist()]), np.uint8)
+        want = np.frombuffer(b"".join([raws[k] for k in own.tolist()]), np.uint8)
+        ends = np.cumsum(sizes[own])
+        fits[own[np.unique(np.searchsorted(ends, np.flatnonzero(said != want), "right"))]] = False
+        return fits
+
+    def aligned(self, texts: list[str]) -> Aligned:
+        """Each text, with the blank that both sides have before it."""
+        out = Aligned()
+        if not texts:
+            return out
+        raws = [b" " + t.encode("utf-8", "replace") for t in texts]
+        flat = self.a.flat(raws), _flat(self.b.encode(texts, num_threads=1))
+        fits = self._spelling(raws, 0, *flat[0]) & self._spelling(raws, 1, *flat[1])
+        many = np.diff(flat[0][1]) > ABREAST
+        out.fits, out.numbers = fits, np.zeros((len(texts), 3), np.int64)
+        said, codes, count = [""] * len(texts), [], np.zeros(len(texts), np.int64)
+        short = np.flatnonzero(fits & ~many)
+        (a, a_at), (b, b_at) = (_picked(*x, short) for x in flat)
+        a_group, b_group, owner, left, right = self.transducer.abreast(a, a_at, b, b_at)
+        # tokens in the order of their groups, A's first
+        a_own, b_own = (np.repeat(np.arange(len(short)), np.diff(x)) for x in (a_at, b_at))
+        place = np.concatenate(((a_own << 32 | a_group) * 2, (b_own << 32 | b_group) * 2 + 1))
+        order = np.argsort(place, kind="stable")
+        last = np.append(place[order][1:] != place[order][:-1], True)[np.argsort(order, kind="stable")]
+        words = np.concatenate([np.where(end, shown[1][x], shown[0][x]) for x, shown, end in ((a, self.shown[0], last[: len(a)]), (b, self.shown[1], last[len(a) :]))])[order].tolist()
+        cuts = np.concatenate(([0], np.cumsum(np.diff(a_at) + np.diff(b_at)))).tolist()
+        for k, (x, y) in zip(short.tolist(), zip(cuts, cuts[1:], strict=False), strict=True):
+            said[k] = "".join(words[x:y])[:-1]
+        groups = np.zeros(len(short), np.int64)
+        np.maximum.at(groups, a_own, a_group + 1)
+        out.numbers[short] = np.column_stack((np.diff(a_at), np.diff(b_at), groups))
+        count[short] = np.bincount(owner, minlength=len(short))
+        ends = np.cumsum(np.bincount(owner, minlength=len(short)))
+        pairs = left * self.width + right
+        long = {}
+        for k in np.flatnonzero(fits & many).tolist():
+            one, two = (x[at[k] : at[k + 1]].tolist() for x, at in flat)
+            found, links = self.transducer.run(one, two)
+            out.numbers[k] = len(one), len(two), len(found)
+            said[k] = spelt(found)
+            long[k] = np.array(links, np.int64) @ np.array([self.width, 1])
+            count[k] = len(links)
+        if long:  # rows of both kinds in their order
+            parts = dict(zip(short.tolist(), np.split(pairs, ends[:-1]) if len(short) else [], strict=True)) | long
+            codes = [parts[k] for k in sorted(parts)]
+            pairs = np.concatenate(codes)
+        out.said, out.links = said, pairs
+        out.at = np.concatenate(([0], np.cumsum(count)))
         return out
 
-    def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[int], np.ndarray]:
-        """The hash of each unit of a block of texts, in order, and each text's first (one more than
-        texts); units not met before are aligned."""
+    def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The row in ``kept`` of each unit of a block of texts, in order, and each text's first (one more than
+        texts); units not met before are aligned. An empty text has a unit that doesn't fit."""
         buf, starts = separated(data, offsets)  # a blank before each text, as both sides have it
         n = len(buf) - 1
         before = np.concatenate(([32], buf[:n])).astype(np.uint8)[:n]
@@ -184,33 +333,61 @@ class Aligner:
             sums = np.zeros(len(buf) + 1, U)
             np.cumsum(BYTE_CODE[buf] * up[:-1], out=sums[1:])
             hashes = mix64((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U))
-        each, one = np.unique(hashes, return_index=True)
+        each, one, back = np.unique(hashes, return_index=True, return_inverse=True)
         cost = 1 + (end - begin)[one] // UNIT_BYTES
-        new = [(h, k, c) for h, k, c in zip(each.tolist(), one.tolist(), cost.tolist(), strict=True) if h not in self.kept]
-        if sum(c for _, _, c in new) > self.room:
-            self.kept.clear()
-            self.room = KEPT_UNITS
-            new = list(zip(each.tolist(), one.tolist(), cost.tolist(), strict=True))
+        names = each.tolist()
+        new = np.flatnonzero([h not in self.row for h in names])
+        if cost[new].sum() > self.room:
+            self.forget()
+            new = np.arange(len(names))
         raw = buf.tobytes()
-        texts = [raw[begin[k] + 1 : end[k]].decode("utf-8", "replace") for _, k, _ in new]
-        for (h, _, c), t, found in zip(new, texts, self.aligned([x or "-" for x in texts]), strict=True):
-            self.kept[h] = found if t else None  # the unit of an empty text
-            self.room -= c
-        return hashes.tolist(), np.searchsorted(begin, np.append(starts - 1, n))
+        texts = [raw[a + 1 : b].decode("utf-8", "replace") for a, b in zip(begin[one[new]].tolist(), end[one[new]].tolist(), strict=True)]
+        found = self.aligned(texts)
+        found.fits &= np.array([t != "" for t in texts], bool)
+        first = len(self.row)
+        self.row.update((names[k], first + i) for i, k in enumerate(new.tolist()))
+        self.kept.add(found)
+        self.room -= int(cost[new].sum())
+        rows = np.array([self.row[h] for h in names], np.int64)
+        return rows[back], np.searchsorted(begin, np.append(starts - 1, n))
+
+    def block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Of a block of texts: numbers (of A's and B's tokens, groups, links) and groups as text of each, and of all links
+        the text and the code. Zeros where there are no tokens."""
+        rows, first = self.units(data, offsets)
+        n, mark = len(first) - 1, BLANK.encode()
+        raw = data[offsets[0] : offsets[-1]].tobytes()
+        sizes = np.diff(offsets)
+        fit = np.add.reduceat(np.append(~self.kept.fits[rows], False).astype(np.int64), first[:-1]) == 0 if n else np.zeros(0, bool)
+        if mark in raw:
+            cut = (offsets - offsets[0]).tolist()
+            fit &= np.array([mark not in raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], bool)
+        whole = np.flatnonzero(~fit & (sizes > 0))
+        alone = self.aligned([data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace") for k in whole.tolist()])
+        take = np.repeat(fit, np.diff(first))
+        owner = np.repeat(np.arange(n), np.diff(first))[take]
+        codes, count = self.kept.codes(rows[take])
+        numbers = np.zeros((n, 4), np.int64)
+        np.add.at(numbers, owner, np.column_stack((self.kept.numbers[rows[take]], count)))
+        own_codes, own_count = alone.codes(np.flatnonzero(alone.fits))
+        numbers[whole[alone.fits]] = np.column_stack((alone.numbers[alone.fits], own_count))
+        said = [""] * n
+        names, at = self.kept.said, first.tolist()
+        units = rows.tolist()
+        for k in np.flatnonzero(fit).tolist():
+            said[k] = ";".join([names[u] for u in units[at[k] : at[k + 1]]])
+        for k, ok, x in zip(whole.tolist(), alone.fits.tolist(), alone.said, strict=True):
+            said[k] = x if ok else ""
+        text = np.concatenate((np.repeat(owner, count), np.repeat(whole[alone.fits], own_count)))
+        return numbers, said, text, np.concatenate((codes, own_codes))
 
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
-        """As :meth:`aligned`, a row for each text of a block; zeros where there are no tokens."""
-        hashes, first = self.units(data, offsets)
-        mark = BLANK.encode()
-        for r, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-            raw = data[offsets[r] : offsets[r + 1]].tobytes()
-            own = [self.kept[h] for h in hashes[a:b]]
-            if raw and (mark in raw or None in own):
-                own = self.aligned([raw.decode("utf-8", "replace")])
-            if not raw or own == [None]:
-                yield 0, 0, 0, "", np.zeros(0, np.int64)
-            else:
-                yield sum([x[0] for x in own]), sum([x[1] for x in own]), sum([x[2] for x in own]), ";".join([x[3] for x in own]), np.concatenate([x[4] for x in own])
+        """A row for each text of a block: numbers of A's and B's tokens and of groups, groups as text, codes of the links."""
+        numbers, said, text, codes = self.block(data, offsets)
+        order = np.argsort(text, kind="stable")
+        parts = np.split(codes[order], np.cumsum(numbers[:, 3])[:-1]) if len(said) else []
+        for n, x, links in zip(numbers.tolist(), said, parts, strict=True):
+            yield *n[:3], x, links
 
 
 @lru_cache(maxsize=2)
@@ -231,16 +408,12 @@ def _scanned(df: DataFrame, path_a: str, path_b: str, key: str, text: str, diges
         for batch in batches:
             data, at = utf8(batch.column(1))
             for i, j in blocks(at):
-                n, said, links = [], [], []
-                for a, b, g, x, codes in both.rows(data[at[i] : at[j]], at[i : j + 1] - at[i]):
-                    n.append((a, b, g, len(codes)))
-                    said.append((hashlib.sha256(x.encode()).hexdigest() if x else "") if digest else listed(x))
-                    links.append(codes)
-                row = np.repeat(np.arange(j - i), [len(x) for x in links])
-                each, times = np.unique((row << 40) | np.concatenate(links), return_counts=True)
+                n, said, row, codes = both.block(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                said = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in said] if digest else list(map(listed, said))
+                each, times = np.unique((row << 40) | codes, return_counts=True)
                 cuts = pa.array(np.searchsorted(each >> 40, np.arange(j - i + 1)).astype(np.int32))
                 lists = (pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (each & ((1 << 40) - 1), times.astype(np.int32)))
-                cols = [batch.column(0).slice(i, j - i), *(pa.array([x[k] for x in n], pa.int64()) for k in range(4)), pa.array(said, pa.string() if digest else group), *lists]
+                cols = [batch.column(0).slice(i, j - i), *(pa.array(np.ascontiguousarray(n[:, k])) for k in range(4)), pa.array(said, pa.string() if digest else group), *lists]
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
 
     said = "string" if digest else "array<struct<a:array<int>,b:array<int>>>"
