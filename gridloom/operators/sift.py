@@ -281,10 +281,9 @@ def sift_tiles(pixels: DataFrame, sizes: DataFrame, o: Options = Options(), side
     all_ = F.greatest(F.floor(F.log2(F.least("h", "w"))) - 3, F.lit(1)) if o.octaves is None else F.lit(o.octaves)
     left = sizes.select("img", F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), all_.cast("int").alias("octaves")).where("h > 1 AND w > 1")
     base, out, number = pixels.select("img", "r", "c", "v"), None, 0
-    while not left.isEmpty():
-        dealt = tiles(base, side, border).join(left.where(F.col("octaves") > number), "img")
 
-        def work(table: pa.Table, number: int = number) -> pa.Table:
+    def at_octave(number: int):
+        def work(table: pa.Table) -> pa.Table:
             r, c, v = (np.asarray(table[n].combine_chunks()) for n in "rcv")
             h, w, ty, tx, last = (table[n][0].as_py() for n in ("h", "w", "ty", "tx", "octaves"))
             first = max(0, ty * side - border), max(0, tx * side - border)
@@ -312,7 +311,11 @@ def sift_tiles(pixels: DataFrame, sizes: DataFrame, o: Options = Options(), side
                     rows.append(pa.RecordBatch.from_arrays([img.take(pa.array(np.zeros(n, np.int32))), pa.array(yy.reshape(-1).astype(np.int32)), pa.array(xx.reshape(-1).astype(np.int32)), pa.array(values.reshape(-1)), *(pa.nulls(n, t) for t in KINDS[3:])], names=names))
             return pa.Table.from_batches(rows)
 
-        made = cut_lineage(dealt.groupBy("img", "ty", "tx").applyInArrow(work, schema))
+        return work
+
+    while not left.isEmpty():
+        dealt = tiles(base, side, border).join(left.where(F.col("octaves") > number), "img")
+        made = cut_lineage(dealt.groupBy("img", "ty", "tx").applyInArrow(at_octave(number), schema))
         points = made.where("x IS NOT NULL").drop("r", "c", "v")
         out = points if out is None else out.unionByName(points)
         base = made.where("x IS NULL").select("img", "r", "c", "v")

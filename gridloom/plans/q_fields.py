@@ -97,4 +97,4 @@ def stateful_sessions(spark, d):
     cluster.cut_lineage(spark.range(1))  # sets a folder for what is kept, if the session has none
     folder = f"{spark.sparkContext.getCheckpointDir()}/sessions-{uuid.uuid4().hex}"
     out = sessions.replayed(e, [e.where(part == i) for i in range(3)], folder, 1_800_000, "10 minutes")
-    return out.where("NOT late").select("key", "start", "stop", "n", F.round("total", 4).alias("total"))
+    return out.select("key", "start", "stop", "n", F.round("total", 4).alias("total"))

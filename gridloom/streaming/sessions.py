@@ -1,9 +1,9 @@
-"""Sessions of a stream kept in state of one's own, with timers, a watermark and late rows.
+"""Sessions of a stream kept in state of one's own, with timers and a watermark.
 
 A session of a key is a stretch of events with less than a gap between neighbours. The state of a key
 holds its open sessions as (start, stop, n, total); an event extends or joins those that it is near. A timer
-closes a session when the watermark has passed its stop by the gap. Events older than the watermark can't
-change what was closed: they come out as rows of their own, marked late.
+closes a session when the watermark has passed its stop by the gap. Events older than the watermark
+can't change what was closed: Spark takes them out before they get here.
 """
 
 from __future__ import annotations
@@ -47,17 +47,12 @@ class Sessions(StatefulProcessor):
         pass
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        mark = timerValues.getCurrentWatermarkInMs()
-        fresh, late = [], []
-        for part in rows:
-            for t, v in zip(part["ms"].tolist(), part["value"].tolist(), strict=True):
-                (fresh if t >= mark else late).append((t, t, 1, float(v)))
-        if fresh:
-            now = joined([*map(tuple, self.open.get()), *fresh], self.gap)
-            self.open.put(now)
-            for s in now:
-                self.handle.registerTimer(s[1] + self.gap)
-        yield self._shown(key, late, True)
+        fresh = [(t, t, 1, float(v)) for part in rows for t, v in zip(part["ms"].tolist(), part["value"].tolist(), strict=True)]
+        now = joined([*map(tuple, self.open.get()), *fresh], self.gap)
+        self.open.put(now)
+        for s in now:
+            self.handle.registerTimer(s[1] + self.gap)
+        yield self._shown(key, [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs()
@@ -69,17 +64,17 @@ class Sessions(StatefulProcessor):
                 self.open.put(rest)
             else:
                 self.open.clear()
-        yield self._shown(key, over, False)
+        yield self._shown(key, over)
 
-    def _shown(self, key, sessions: list[tuple[int, int, int, float]], late: bool) -> pd.DataFrame:
-        return pd.DataFrame({"key": pd.Series([key[0]] * len(sessions), dtype="int64"), **{n: pd.Series([s[i] for s in sessions], dtype=t) for i, (n, t) in enumerate((("start", "int64"), ("stop", "int64"), ("n", "int64"), ("total", "float64")))}, "late": pd.Series([late] * len(sessions), dtype="bool")})
+    def _shown(self, key, sessions: list[tuple[int, int, int, float]]) -> pd.DataFrame:
+        return pd.DataFrame({"key": pd.Series([key[0]] * len(sessions), dtype="int64"), **{n: pd.Series([s[i] for s in sessions], dtype=t) for i, (n, t) in enumerate((("start", "int64"), ("stop", "int64"), ("n", "int64"), ("total", "float64")))}})
 
 
 def sessions(events: DataFrame, gap_ms: int, late: str) -> DataFrame:
-    """(key, start, stop, n, total, late) of a stream (key, ts, value): closed sessions, and late events as sessions
-    of one event marked late. start and stop are milliseconds. late: how far events may be behind the latest one."""
+    """(key, start, stop, n, total) of a stream (key, ts, value): closed sessions. start and stop are milliseconds.
+    late: how far events may be behind the latest one before they are dropped."""
     timed = events.select(F.col("key").cast("bigint").alias("key"), "ts", F.unix_millis("ts").alias("ms"), F.col("value").cast("double").alias("value")).withWatermark("ts", late)
-    return timed.groupBy("key").transformWithStateInPandas(Sessions(gap_ms), outputStructType="key bigint, start bigint, stop bigint, n bigint, total double, late boolean", outputMode="append", timeMode="eventTime")
+    return timed.groupBy("key").transformWithStateInPandas(Sessions(gap_ms), outputStructType="key bigint, start bigint, stop bigint, n bigint, total double", outputMode="append", timeMode="eventTime")
 
 
 def replayed(events: DataFrame, batches: list[DataFrame], folder: str, gap_ms: int, late: str) -> DataFrame:
@@ -102,4 +97,4 @@ def replayed(events: DataFrame, batches: list[DataFrame], folder: str, gap_ms: i
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
         else:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return spark.read.schema("key bigint, start bigint, stop bigint, n bigint, total double, late boolean").parquet(f"{folder}/out").where("key >= 0")
+    return spark.read.schema("key bigint, start bigint, stop bigint, n bigint, total double").parquet(f"{folder}/out").where("key >= 0")
