@@ -45,19 +45,19 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+def materialise(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and a
-    lost executor only costs its running tasks."""
+    lost executor only costs its running tasks. by: a column of whole numbers by which files lie in folders."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}-{name}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(df: DataFrame) -> None:
     """Delete the files of a materialised DataFrame that nothing reads any more."""
     spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for path in {f.rsplit("/", 1)[0].split("/_gl_part=")[0] for f in df.inputFiles()}:
         if "/gridloom-" in path:
             jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)

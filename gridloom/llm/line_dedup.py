@@ -1,20 +1,22 @@
 r"""Line dedup: levelled sorted runs of line hashes.
 
 :class:`LineRuns` keeps (hash, number of documents) in runs sorted by hash, like the levels of a
-log-structured merge tree. Each new batch is merge-anti-joined with the keys that the runs already
-know to be common, so that those aren't stored again; what is left is added as a run of its own.
-When a level holds ``FANOUT`` runs they are merged into one run of the next level. At the end the
-runs give all keys whose documents, summed over the runs, reach the threshold, and their lines go.
+log-structured merge tree, and the keys known to be common beside them. Each new batch is
+merge-anti-joined with the common keys, so that those aren't stored again; what is left is added as a
+run of its own. When a level holds ``FANOUT`` runs they are merged into one run of the next level. A key
+that reaches the threshold in a batch or a merge moves to the common ones, so each row is read again
+only when its level is merged. At the end the keys that reach the threshold over all runs join them,
+and the lines of the common keys go.
 
 A line's key is the line without ``[\x20\x09-\x0D]`` at both ends and with A-Z lower-cased. Keys
 are known by 96 bits of hash (xxhash64 and a murmur3 hash).
 
-Batches are anti-joined with the keys of the runs that have reached the threshold, not with all
+Batches are anti-joined with the keys that have reached the threshold, not with all
 keys of the runs: a key below it must go on being counted.
 
-Cost: one scan hashes each line once and writes (row mark, line hashes), 12 bytes a line. Batches
-are parts of that table of about ``BATCH_ROWS`` documents, so their number, and with it the levels,
-grow with the input; the counts, summed before they move, are the largest shuffle of hashes. A second
+Cost: one scan hashes each line once and writes (row mark, line hashes), 12 bytes a line, in folders by
+part. Batches are some parts each, of about ``BATCH_ROWS`` documents, and read no others; their number, and
+with it the levels, grow with the input; the counts, summed before they move, are the largest shuffle of hashes. A second
 look joins (document, line number, hash) of that table with the common keys, and the documents that
 have any are joined with their line numbers by document. Common lines never meet in one task: counts
 are partial sums, and adaptive execution can split the second look or send the common keys to all
@@ -36,6 +38,8 @@ from ._common import WHITE, documents, materialise, release, text_of
 
 #: Runs of a level that are merged into one of the next level.
 FANOUT = 3
+#: Parts of the table of hashes: by the task that wrote them, and by a hash. There are no more batches than parts.
+TASKS, SPLIT = 1024, 4
 #: Documents of a batch in which a table is added, about; there are FANOUT + 1 batches at least.
 BATCH_ROWS = 20_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,42 +76,48 @@ class LineRuns:
     def __init__(self, spark: SparkSession, threshold: int, fanout: int = FANOUT):
         self.spark, self.threshold, self.fanout = spark, threshold, fanout
         self.levels: list[list[DataFrame]] = []
+        self.known: list[DataFrame] = []  # common keys, found one after another; a key may be in several
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def totals(self) -> DataFrame | None:
-        """(h, c, n) summed over all runs."""
-        runs = self.runs()
-        return reduce(DataFrame.unionByName, runs).groupBy("h", "c").agg(F.sum("n").alias("n")) if runs else None
-
-    def common(self) -> DataFrame | None:
-        """Keys that reach the threshold."""
-        totals = self.totals()
-        return totals.where(F.col("n") >= self.threshold).select("h", "c") if totals is not None else None
+    def common(self) -> DataFrame:
+        """(h, c) of the keys that reach the threshold, each once."""
+        found = list(self.known)
+        if runs := self.runs():
+            totals = reduce(DataFrame.unionByName, runs).groupBy("h", "c").agg(F.sum("n").alias("n"))
+            found.append(totals.where(F.col("n") >= self.threshold).select("h", "c"))
+        return reduce(DataFrame.unionByName, found).distinct()
 
     def add(self, keys: DataFrame) -> None:
         """keys: a row (h, c) for each document of the batch and distinct key in it."""
         counts = keys.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"))
-        known = self.common()
-        if known is not None:
-            counts = counts.join(known.hint("merge"), ["h", "c"], "left_anti")
+        if self.known:
+            counts = counts.join(reduce(DataFrame.unionByName, self.known).hint("merge"), ["h", "c"], "left_anti")
         self._put(0, counts)
 
     def _put(self, level: int, rows: DataFrame) -> None:
+        reached = F.col("n") >= self.threshold
         run = materialise(rows.sortWithinPartitions("h", "c"), f"run{level}")
+        found = materialise(run.where(reached).select("h", "c"), "known")
+        self.known.append(found)
         self.levels += [[] for _ in range(level + 1 - len(self.levels))]
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            self._put(level + 1, reduce(DataFrame.unionByName, old).groupBy("h", "c").agg(F.sum("n").alias("n")))
+            below = [x.where(~reached) for x in old]  # the others are known already
+            self._put(level + 1, reduce(DataFrame.unionByName, below).groupBy("h", "c").agg(F.sum("n").alias("n")))
             for run in old:
                 release(run)
+        if len(self.known) > 2 * self.fanout:
+            old, self.known = self.known, [materialise(reduce(DataFrame.unionByName, self.known).distinct(), "known")]
+            for x in old:
+                release(x)
 
     def drop(self) -> None:
-        for run in self.runs():
+        for run in [*self.runs(), *self.known]:
             release(run)
-        self.levels = []
+        self.levels, self.known = [], []
 
 
 def drop_common_lines(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 10, batches: int | None = None) -> DataFrame:
@@ -116,12 +126,14 @@ def drop_common_lines(df: DataFrame, key: str = "doc_id", text: str = "text", th
     body = text_of(f"`{text}`")
     # a document is known by its key and its text, so that repeated and null keys do no harm
     mark = [F.col(f"`{key}`").alias("_gl_id"), F.xxhash64(body).alias("_gl_a"), F.xxhash64(F.lit(1), body).alias("_gl_b")]
-    hashed = materialise(df.select(*mark, key_hashes(body).alias("hashes")), "hashed")
-    batches = batches or max(FANOUT + 1, -(-hashed.count() // BATCH_ROWS))
-    keys = hashed.select(F.pmod("_gl_a", F.lit(batches)).alias("batch"), F.explode(F.array_distinct("hashes")).alias("k")).where("k IS NOT NULL")
+    part = (F.pmod(F.spark_partition_id(), F.lit(TASKS)) * SPLIT + F.pmod("_gl_a", F.lit(SPLIT))).cast("int").alias("_gl_part")
+    hashed = materialise(df.select(*mark, key_hashes(body).alias("hashes"), part), "hashed", by="_gl_part")
+    batches = min(TASKS * SPLIT, batches or max(FANOUT + 1, -(-hashed.count() // BATCH_ROWS)))
     index = LineRuns(spark, threshold)
     for i in range(batches):
-        index.add(keys.where(F.col("batch") == i).select("k.h", "k.c"))
+        # a filter of folders: a batch reads its own files only
+        batch = hashed.where(F.pmod("_gl_part", F.lit(batches)) == i)
+        index.add(batch.select(F.explode(F.array_distinct("hashes")).alias("k")).where("k IS NOT NULL").select("k.h", "k.c"))
     common = materialise(index.common(), "common")
     index.drop()
 

@@ -85,12 +85,22 @@ def test_line_dedup_without_ansi(spark):
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got) == [(1, 2, 1, "b"), (2, 1, 0, ""), (3, 3, 2, "c")]
 
 
+@pytest.mark.parametrize("batches", [1, 7, 100])
+def test_line_dedup_batches(spark, batches):
+    """Any number of batches, empty ones too, gives the same lines."""
+    rows = [(i, f"common {i % 5}\nrare {i % 31}\nown {i}", "") for i in range(90)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    got = line_dedup.drop_common_lines(df, threshold=4, batches=batches).collect()
+    assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_text) for r in got) == sorted(plain_lines(rows, 4))
+
+
 def test_line_runs_levels(spark):
     """Batches one after another give the counts of all at once, through compactions."""
     index = line_dedup.LineRuns(spark, threshold=3, fanout=2)
     for b in range(5):
         index.add(spark.createDataFrame([(k, 0) for k in range(6) if (k + b) % 3 or k == 1], "h long, c int"))
     assert len(index.levels) >= 3 and all(len(x) < 2 for x in index.levels)
+    assert len(index.known) <= 5  # found in batches and merges, brought together
     want = [k for k in range(6) if sum(bool((k + b) % 3 or k == 1) for b in range(5)) >= 3]
     assert sorted(r.h for r in index.common().collect()) == want
 
