@@ -126,15 +126,21 @@ class Scanner:
 
     def scan(self, text: bytes) -> list[Match]:
         """All matches in text, which is as words_of() gives it."""
-        out = []
+        base, near = [], []
         for phrase, label in self.phrases:
             at = text.find(phrase)
             while at >= 0:
-                out.append(Match(label, True, text.count(b" ", 0, at), phrase.count(b" ") - 1, 0, 1.0))
+                base.append((at, label, phrase.count(b" ") - 1))
                 at = text.find(phrase, at + 1)
         for n in self.notices:
-            for a, b, errors in n.search(text):
-                out.append(Match(n.label, False, text.count(b" ", 0, a) - 1, text.count(b" ", a, b) + 1, errors, 1.0 - errors / n.size, n.bare))
+            near += [(a, b, errors, n) for a, b, errors in n.search(text)]
+        if not base and not near:
+            return []
+        blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)  # counted once, however many matches there are
+        before = lambda places: np.searchsorted(blanks, places).tolist()
+        out = [Match(label, True, word, n, 0, 1.0) for (_, label, n), word in zip(base, before([x[0] for x in base]), strict=True)]
+        for (_, _, errors, n), first, last in zip(near, before([x[0] for x in near]), before([x[1] for x in near]), strict=True):
+            out.append(Match(n.label, False, first - 1, last - first + 1, errors, 1.0 - errors / n.size, n.bare))
         return out
 
 
