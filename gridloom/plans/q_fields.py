@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster, sift, slic, sparse
+from ..operators import cluster, patchsearch, sift, slic, sparse
 from ..streaming import sessions
 from . import inputs as I
 from .registry import query
@@ -98,3 +98,40 @@ def stateful_sessions(spark, d):
     folder = f"{spark.sparkContext.getCheckpointDir()}/sessions-{uuid.uuid4().hex}"
     out = sessions.replayed(e, [e.where(part == i) for i in range(3)], folder, 1_800_000, "10 minutes")
     return out.select("key", "start", "stop", "n", F.round("total", 4).alias("total"))
+
+
+_U = lambda *parts: f"((('0x' || substr(md5(concat_ws(',', {', '.join(parts)})), 1, 8))::BIGINT + 1) / 4294967296.0::DOUBLE)"
+_OK = "ty BETWEEN 0 AND 21 AND tx BETWEEN 0 AND 29 AND greatest(abs(ty - y), abs(tx - x)) >= 3"
+
+
+def _best(name: str, tries: str, before: str | None) -> str:
+    """The better of a field before and some tries (y, x, ty, tx)."""
+    old = f" UNION ALL SELECT y, x, ty, tx, dist FROM {before}" if before else ""
+    return f"""{name} AS MATERIALIZED (SELECT y, x, ty, tx, dist FROM (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY dist, ty, tx) AS n FROM (SELECT y, x, ty, tx, round(avg((a.v - b.v) * (a.v - b.v)), 9) AS dist
+FROM (SELECT DISTINCT y, x, ty, tx FROM ({tries}) WHERE {_OK} AND y BETWEEN 0 AND 21 AND x BETWEEN 0 AND 29) t, range(9) s(k) JOIN grid a ON a.r = y + k // 3 AND a.c = x + k % 3 JOIN grid b ON b.r = ty + k // 3 AND b.c = tx + k % 3 GROUP BY ALL{old})) WHERE n = 1)"""
+
+
+def _random_rounds(rounds: int) -> str:
+    start = f"SELECT y, x, CASE WHEN greatest(abs(ty - y), abs(tx - x)) < 3 THEN (y + 11) % 22 ELSE ty END AS ty, CASE WHEN greatest(abs(ty - y), abs(tx - x)) < 3 THEN (x + 15) % 30 ELSE tx END AS tx FROM (SELECT y, x, least(21, CAST(floor({_U('5', '-1', '0', 'y', 'x')} * 22) AS INT)) AS ty, least(29, CAST(floor({_U('5', '-1', '1', 'y', 'x')} * 30) AS INT)) AS tx FROM range(22) r(y), range(30) c(x))"
+    out = f"WITH {I.COUNT_GRID}, {_best('f0', start, None)}"
+    for t in range(rounds):
+        s = 1 if t % 2 == 0 else -1
+        near = f"SELECT y + {s} AS y, x, ty + {s} AS ty, tx FROM f{t} UNION ALL SELECT y, x + {s}, ty, tx + {s} FROM f{t}"
+        drawn = " UNION ALL ".join(f"SELECT y, x, ty + CAST(round((2 * {_U('5', str(t), str(k), '0', 'y', 'x')} - 1) * {r}) AS INT) AS ty, tx + CAST(round((2 * {_U('5', str(t), str(k), '1', 'y', 'x')} - 1) * {r}) AS INT) AS tx FROM p{t}" for k, r in enumerate((8, 4, 2, 1)))
+        out += f", {_best(f'p{t}', near, f'f{t}')}, {_best(f'f{t + 1}', drawn, f'p{t}')}"
+    return f"{out} SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(ty AS INT) AS ty, CAST(tx AS INT) AS tx, round(dist, 6) AS dist FROM f{rounds}"
+
+
+@query("patch_search_random", _random_rounds(2))
+def patch_search_random(spark, d):
+    g = I.count_grid(spark, d)
+    field, _ = patchsearch.search(g, g, 24, 32, rounds=2, o=patchsearch.Options(window=8, least_gap=3, seed=5))
+    return field.select("y", "x", F.col("ty").cast("int").alias("ty"), F.col("tx").cast("int").alias("tx"), r6("dist").alias("dist"))
+
+
+# no SQL: ten rounds; tests hold the mean distance against that of the exact search
+@query("patch_search_energy")
+def patch_search_energy(spark, d):
+    g = I.count_grid(spark, d)
+    _, means = patchsearch.search(g, g, 24, 32, rounds=8, o=patchsearch.Options(least_gap=3, seed=5))
+    return spark.createDataFrame(list(enumerate(means)), "round int, energy double")
