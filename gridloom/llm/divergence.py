@@ -43,7 +43,7 @@ LEAST_DOCS, ADDED, UNIT, RANKS = 30, 5, 1_000_000_000, 50
 COUNTED = 1 << 22
 #: Cells of a dense matrix, about, if a source has fewer than CELLS / LEAST_TERMS fellows; up to MOST_CELLS
 #: so that a block has LEAST_TERMS terms.
-CELLS, LEAST_TERMS, MOST_CELLS = 1 << 18, 1 << 10, 1 << 23
+CELLS, LEAST_TERMS, MOST_CELLS = 1 << 16, 1 << 10, 1 << 23
 #: Elements of a broadcast slice.
 SLICE = 1 << 20
 
