@@ -8,6 +8,9 @@ from gridloom.plans import catalog
 
 D = "/root/testdata/sf0.001"
 SAMPLE = ["ratio_match", "pairwise_emd", "roc_eer", "pr_ap11", "histc2_2d", "box_nms_greedy", "vlad", "split_gini", "behavior_runs", "lbp_hist", "flatmap_roots"]
+# queries of new operators and of rules that changed
+SAMPLE += ["forest_apply", "stump_errors", "pca_covariance", "pca_first", "kd_neighbours", "hog_uoctti", "hog_tiles", "fhog", "dense_sift", "dense_sift_flat", "slic_two_rounds", "poisson_rounds", "patch_search_random"]
+SAMPLE += ["solve2", "solve_any", "to_size_odd", "scale_field_sizes", "difference_matrix_masked", "combine_means", "combine_strongest", "box_filter_sampled", "triangle_filter_wide", "homography_grid", "grid_moments", "frame_ellipses", "box_nms_max", "box_iou"]
 
 
 def test_entry(spark):
