@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster, patchsearch, sift, slic, sparse
+from ..operators import cluster, lattice, patchsearch, sift, slic, sparse
 from ..streaming import sessions
 from . import inputs as I
 from .registry import query
@@ -135,3 +135,33 @@ def patch_search_energy(spark, d):
     g = I.count_grid(spark, d)
     _, means = patchsearch.search(g, g, 24, 32, rounds=8, o=patchsearch.Options(least_gap=3, seed=5))
     return spark.createDataFrame(list(enumerate(means)), "round int, energy double")
+
+
+def _offsets(spark, d):
+    """Offsets of a lattice with some noise."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    i, j = k % 7 - 3, k % 5 - 2
+    return I.table(spark, d, "part").select((11 * i + 3 * j + (s % 3 - 1) * 0.25).cast("double").alias("dx"), (9 * j - 2 * i + (s % 4 - 1) * 0.25).cast("double").alias("dy"))
+
+
+_LATTICE = """WITH o AS (SELECT (11 * (p_partkey % 7 - 3) + 3 * (p_partkey % 5 - 2) + (p_size % 3 - 1) * 0.25)::DOUBLE AS dx, (9 * (p_partkey % 5 - 2) - 2 * (p_partkey % 7 - 3) + (p_size % 4 - 1) * 0.25)::DOUBLE AS dy, count(*) AS n FROM part GROUP BY 1, 2),
+m AS MATERIALIZED (SELECT x, y, sum(n * exp(-((dx - x) * (dx - x) + (dy - y) * (dy - y)) / 2)) AS e FROM (SELECT dx, dy, n, unnest(range(CAST(floor(dx) AS BIGINT) - 2, CAST(ceil(dx) AS BIGINT) + 3)) AS x FROM o) JOIN range(-200, 200) t(y) ON y BETWEEN floor(dy) - 2 AND ceil(dy) + 2 GROUP BY 1, 2),
+b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, sum(e) AS total, sum(e) / count(*) AS pen FROM m),
+c AS (SELECT x AS dx, y AS dy FROM b, range(0, 200) s(x), range(-200, 200) t(y) WHERE x <= x1 AND y BETWEEN y0 AND y1 AND sqrt(x * x + y * y) >= 5),
+e AS (SELECT c.dx, c.dy, sum(coalesce(m.e, -pen)) AS s, count(*) AS n, any_value(total) AS total FROM c, b, range(-60, 60) k(k) LEFT JOIN m ON m.x = k * c.dx AND m.y = k * c.dy WHERE k <> 0 AND k * c.dx BETWEEN x0 AND x1 AND k * c.dy BETWEEN y0 AND y1 GROUP BY 1, 2),
+f AS (SELECT dx, dy, CASE WHEN s > 0 THEN s / n ELSE 0 END AS p, greatest(s, 0) / total AS r FROM e)
+SELECT dx, dy, round(measure, 6) AS measure FROM (SELECT dx, dy, CASE WHEN p < 1e-8 OR r < 1e-8 THEN 0 ELSE 1.01 * p * r / (0.01 * p + r) END AS measure FROM f) ORDER BY round(measure, 12) DESC, dy, dx LIMIT 10"""
+
+
+@query("lattice_first", _LATTICE)
+def lattice_first(spark, d):
+    o = lattice.Options(sigma=1.0)
+    return lattice.first_generators(lattice.density(_offsets(spark, d), o), spark, 10, o).select("dx", "dy", r6("measure").alias("measure"))
+
+
+# no SQL: seconds to several first ones; tests hold them against plain loops and a planted lattice
+@query("lattice_generators")
+def lattice_generators(spark, d):
+    o = lattice.Options(sigma=1.0)
+    m = lattice.density(_offsets(spark, d), o)
+    return lattice.second_generators(m, cluster.cut_lineage(lattice.first_generators(m, spark, 5, o)), o)
