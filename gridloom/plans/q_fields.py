@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster, lattice, patchsearch, sift, slic, sparse
+from ..operators import cluster, lattice, meanshift, patchsearch, sift, slic, sparse
 from ..streaming import sessions
 from . import inputs as I
 from .registry import query
@@ -165,3 +165,12 @@ def lattice_generators(spark, d):
     o = lattice.Options(sigma=1.0)
     m = lattice.density(_offsets(spark, d), o)
     return lattice.second_generators(m, cluster.cut_lineage(lattice.first_generators(m, spark, 5, o)), o)
+
+
+# no SQL: rounds until points stop, and clusters in the order of ids; tests hold it against a loop over points
+@query("mean_shift_clusters")
+def mean_shift_clusters(spark, d):
+    """Users by their number of events and their mean value."""
+    u = I.table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("x"), F.avg("value").alias("y"))
+    _, means = meanshift.mean_shift(u, 5.0, 0.5, 20)
+    return means.select("cluster", r6("x").alias("x"), r6("y").alias("y"), "n")

@@ -91,7 +91,7 @@ def same(got, want):
 
 
 OPTIONS = [
-    dict(trees=1, features=6, depth=7),
+    dict(trees=1, features=6, depth=5),
     dict(trees=3, rows=120, depth=3, criterion="entropy", least_count=8, least_child=3),
     dict(trees=2, rows=200, features=4, criterion="twoing", depth=4, least_child=5, seed=9),
     dict(trees=12, depth=0),
